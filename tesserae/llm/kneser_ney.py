@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, bound_batches
 
 #: Characters of the longest n-gram; documents in the sample and code points of each at most; n-grams of the model at most.
-ORDER, SAMPLE, SAMPLE_CHARS, MOST_GRAMS = 5, 4_000, 20_000, 400_000
+ORDER, SAMPLE, SAMPLE_CHARS, MOST_GRAMS = 5, 4_000, 20_000, 250_000
 #: A language's threshold is this quantile of trusted documents' scores, times MARGIN; weight of the language's mean in characters.
 QUANTILE, MARGIN, PRIOR = 0.999, 1.2, 40
 #: Languages with thresholds of their own, most frequent first, and the trusted documents that each needs.
 LANGUAGES, LEAST_TRUSTED = 1_000, 20
 #: Words whose scores a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 
 _BLANKS = "[\\x20\\x09-\\x0D]+"
 
