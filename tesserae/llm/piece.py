@@ -30,7 +30,7 @@ MARK = "▁"
 #: A byte piece scores this much less than the worst piece.
 BYTE_PENALTY = 10.0
 #: Words whose paths a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def read_model(data: bytes) -> list[tuple[str, float, int]]:
