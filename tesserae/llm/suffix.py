@@ -34,7 +34,7 @@ from .common import Scratch, bound_batches
 #: Bytes of an anchor, a power of two.
 K = 32
 #: Bytes of text whose windows are hashed at a time, and the distinct pieces of one block of the construction.
-CHUNK, BLOCK = 4 << 20, 1 << 15
+CHUNK, BLOCK = 1 << 20, 1 << 15
 
 _U = np.uint64
 
