@@ -216,8 +216,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = BLOCK, scrat
     id_type = docs.schema["doc_id"].dataType.simpleString()
     every = scratch.save(all_pieces(docs, length), "pieces")
     anchors = every.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1")
-    met = scratch.save(every.join(anchors.select("a", F.expr("lo <> hi").alias("mixed")), "a"), "met")
-    scratch.drop("pieces")
+    anchors = scratch.save(anchors.select("a", F.expr("lo <> hi").alias("mixed")), "anchors")  # written, so that the join can split a frequent anchor
+    met = scratch.save(every.join(anchors, "a"), "met")
+    scratch.drop("pieces", "anchors")
     distinct = met.filter("mixed").groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("r"))
     distinct = scratch.save(distinct, "distinct")
     whole = met.filter("not mixed").select("doc_id", "th", "at")
