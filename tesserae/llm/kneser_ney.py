@@ -11,6 +11,7 @@ aren't judged by chance, is held against its language's quantile over all truste
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,10 @@ QUANTILE, MARGIN, PRIOR = 0.999, 1.2, 40
 #: Languages with thresholds of their own, most frequent first, and the trusted documents that each needs.
 LANGUAGES, LEAST_TRUSTED = 1_000, 20
 #: Words whose scores a worker keeps.
-CACHE = 100_000
+CACHE = 300_000
 
 _BLANKS = "[\\x20\\x09-\\x0D]+"
+_WORDS, _OTHER_BLANKS = re.compile(r"[^\x20\x09-\x0D]+"), re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -105,6 +107,26 @@ class Model:
         return sum_
 
 
+class _Words(dict):
+    """Log probabilities of words, kept while there are at most CACHE."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        found = self.model.word(word)
+        if len(self) >= CACHE:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
+def split(text: str) -> list[str]:
+    """The words of a text; str.split() knows more blanks than are meant here."""
+    return _WORDS.findall(text) if _OTHER_BLANKS.search(text) else text.split()
+
+
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: int = ORDER, sample: int = SAMPLE) -> tuple[Model | None, DataFrame]:
     """The model, None without trusted text, and the ids of its sample: of the trusted ones with an even hash those with the least."""
     ids = trusted(labels).join(docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id").distinct(), "doc_id", "left_semi")
@@ -126,24 +148,12 @@ def scores(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cache = shared.value, {}
+        known = _Words(shared.value)
         for batch in batches:
             rows = []
             for text in batch.column(2).to_pylist():
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                total = size = 0.0
-                for w in words:
-                    hit = cache.get(w)
-                    if hit is None:
-                        word = w.decode("utf-8", "surrogatepass")
-                        hit = (own.word(word), len(word) + 1)
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        if len(w) <= 64:
-                            cache[w] = hit
-                    total -= hit[0]
-                    size += hit[1]
-                rows.append((len(words), size, total))
+                words = split(text or "")
+                rows.append((len(words), len("".join(words)) + len(words), -sum(map(known.__getitem__, words))))
             n = np.array(rows, np.float64).reshape(-1, 3)
             made = [pa.array(n[:, 0].astype(np.int64)), pa.array(n[:, 1].astype(np.int64)), pa.array(n[:, 2])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *(batch.column(k) for k in range(2, 2 + bool(extra) * len(extra)))], ["doc_id", "lang", "n_words", "n_scored", "nll", *extra])
