@@ -64,13 +64,14 @@ def bm25_scores(candidates: DataFrame, queries: DataFrame, key: str = "doc_id",
 def decayed(scored: DataFrame, k: int, key: str = "doc_id", page: str = "page_number", prior: str | None = None) -> DataFrame:
     """(query_id, key, final, rank): scores over their query's best, 0.9 of that and 0.1 of the page's boost, best k.
 
-    With no score above 0 a query's rows keep their prior order. Ties go to the prior rank, then to the key.
+    With no score above 0 a query's rows keep their prior order. Ties go to the prior rank, then to the key; scores are
+    rounded to 12 places, so that the order in which a sum was taken decides nothing.
     """
     own = Window.partitionBy("query_id")
     best = F.max("score").over(own)
     final = F.when(best > 0, F.lit(0.9) * F.coalesce(F.try_divide(F.col("score"), best), F.lit(0.0)) + F.lit(0.1) * text.page_boost(F.col(page))).otherwise(F.lit(0.0))
     last = [F.col(prior)] if prior else []
-    rows = scored.withColumn("final", final)
+    rows = scored.withColumn("final", F.round(final, 12))
     order = own.orderBy(F.desc("final"), *last, F.col(key))
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
