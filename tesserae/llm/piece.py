@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,7 +31,7 @@ MARK = "▁"
 #: A byte piece scores this much less than the worst piece.
 BYTE_PENALTY = 10.0
 #: Words whose paths a worker keeps.
-CACHE = 100_000
+CACHE = 200_000
 
 
 def read_model(data: bytes) -> list[tuple[str, float, int]]:
@@ -93,7 +94,11 @@ class Codec:
         self.byte_score = min(scores, default=0.0) - BYTE_PENALTY
         self.by_word = all(MARK not in p.lstrip(MARK) for p, _, k in pieces if k in (1, 4))
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.cache: dict[str, list[int]] = {}
+        #: Characters that are pieces: no byte piece can be better for them.
+        self.singles = {p for p, _, k in pieces if k in (1, 4) and len(p) == 1}
+        #: What each id stands for.
+        self.plain = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else p.replace(MARK, " ").encode() for p, _, k in pieces]
+        self.known = _Paths(self)
 
     def _fallback(self, char: str) -> list[int]:
         """The byte pieces of a character, or the unknown piece."""
@@ -102,70 +107,67 @@ class Codec:
 
     def path(self, text: str, literal: frozenset[int] | set[int] = frozenset()) -> list[int]:
         """The ids of the best path over text; of equal scores the one whose last piece is longest. literal: positions of U+2581 that stand for themselves."""
-        n = len(text)
-        best, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
-        bare = self.byte_score
+        n, bare, singles = len(text), self.byte_score, self.singles if not literal else ()
+        best, start, ids = [0.0] + [float("-inf")] * n, list(range(-1, n)), [-1] * (n + 1)
         at = 0
-
-        def over(to: int) -> None:
-            """Relaxes the byte fallback at positions up to to; every score before to is final."""
-            nonlocal at
-            while at < to:
-                s = best[at] + bare * max(1, len(text[at].encode("utf-8", "surrogatepass")))
-                if s > best[at + 1]:
-                    best[at + 1], back[at + 1] = s, (at, -1)
-                at += 1
-
         for end, (i, size, s) in self.automaton.iter(text):
-            over(end)  # positions before end + 1 are final
-            start = end + 1 - size
-            if literal and any(k in literal for k in range(start, end + 1)):
+            while at < end:  # scores up to at are final: the character after it may go in byte pieces
+                if text[at] not in singles:
+                    t = best[at] + bare * len(text[at].encode("utf-8", "surrogatepass"))
+                    if t > best[at + 1]:
+                        best[at + 1], start[at + 1], ids[at + 1] = t, at, -1
+                at += 1
+            first = end + 1 - size
+            if literal and any(k in literal for k in range(first, end + 1)):
                 continue
-            s += best[start]
-            if s > best[end + 1] or s == best[end + 1] and start < back[end + 1][0]:
-                best[end + 1], back[end + 1] = s, (start, i)
-        over(n)
-        out: list[list[int]] = []
+            s += best[first]
+            if s > best[end + 1] or s == best[end + 1] and first < start[end + 1]:
+                best[end + 1], start[end + 1], ids[end + 1] = s, first, i
+        while at < n:
+            if text[at] not in singles:
+                t = best[at] + bare * len(text[at].encode("utf-8", "surrogatepass"))
+                if t > best[at + 1]:
+                    best[at + 1], start[at + 1], ids[at + 1] = t, at, -1
+            at += 1
+        out: list[int] = []
         while n:
-            start, i = back[n]
-            out.append([i] if i >= 0 else self._fallback(text[start]))
-            n = start
-        return [i for x in reversed(out) for i in x]
+            out += [ids[n]] if ids[n] >= 0 else self._fallback(text[start[n]])[::-1]
+            n = start[n]
+        return out[::-1]
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         if MARK in text:  # its own U+2581, apart from those for blanks
-            shown = MARK + text.replace(" ", MARK)
-            return self.path(shown, {k + 1 for k, c in enumerate(text) if c == MARK})
-        shown = MARK + text.replace(" ", MARK)
+            return self.path(MARK + text.replace(" ", MARK), {k + 1 for k, c in enumerate(text) if c == MARK})
         if not self.by_word:
-            return self.path(shown)
-        out: list[int] = []
-        cache, path = self.cache, self.path
-        for word in self.word.findall(shown):
-            ids = cache.get(word)
-            if ids is None:
-                ids = path(word)
-                if len(cache) >= CACHE:
-                    cache.clear()
-                if len(word) <= 64:
-                    cache[word] = ids
-            out += ids
-        return out
+            return self.path(MARK + text.replace(" ", MARK))
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            words = [w[1:] for w in self.word.findall(MARK + text.replace(" ", MARK))]
+        else:
+            words = text.split(" ")
+        return list(chain.from_iterable(map(self.known.__getitem__, words)))
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == 6:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif kind != 3:
-                out += self.pieces[i].replace(MARK, " ").encode()
-        text = out.decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text[:1] == " " else text
 
 
+class _Paths(dict):
+    """The paths of words, a U+2581 before each, kept while there are at most CACHE."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.codec.path(MARK + word)
+        if len(self) >= CACHE:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip of every row of docs (doc_id, text, ...).
 
