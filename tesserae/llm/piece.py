@@ -31,7 +31,7 @@ MARK = "▁"
 #: A byte piece scores this much less than the worst piece.
 BYTE_PENALTY = 10.0
 #: Words whose paths a worker keeps.
-CACHE = 200_000
+CACHE = 400_000
 
 
 def read_model(data: bytes) -> list[tuple[str, float, int]]:
@@ -159,8 +159,8 @@ class _Paths(dict):
     def __init__(self, codec: Codec):
         self.codec = codec
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.codec.path(MARK + word)
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self.codec.path(MARK + word))  # the garbage collector leaves tuples of numbers alone
         if len(self) >= CACHE:
             self.clear()
         if len(word) <= 64:
