@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, components
@@ -41,15 +41,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long. A null text counts as empty."""
+    """(doc_id, h, fp) of every row; h is a hash of the text, fp its fingerprint as a signed long. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "h", "fp"])
 
     bound_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col(text).cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    rows = docs.select("doc_id", text_hash(F.col(text)).alias("h"), F.col(text).cast("string"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, fp bigint")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -72,21 +77,28 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     blank text has fingerprint zero and links like any other; repeated rows stay and share a component; an empty table
     gives an empty result; a null doc_id gets the smallest non-null id that it reaches. Other columns are not looked at.
     """
+    fps, placed = _placed(docs, width)
+    heads = placed.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+    by_fp = placed.join(heads, "root").select("fp", "component_id")
+    return fps.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _placed(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, least, root) of the distinct ones: the least row with it, and its component's root."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.save(fingerprints(docs, width), "fps")
-    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")
+    nodes = scratch.save(fps.groupBy("fp").agg(least), "nodes")
     roots = scratch.save(components(links(nodes.select("fp"), scratch), scratch), "roots")
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(heads, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    scratch.drop("met")
+    return fps, nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs without all but one document of each component: the one with the smallest doc_id, and of its repeated rows one.
-
-    Rows without doc_id are kept only where they reach no other id, once for each distinct row.
+    """docs without all but one document of each component: the one with the smallest doc_id, of its texts the one with the
+    least hash, and of its repeated rows one. Documents without doc_id come last.
     """
-    found = near_duplicates(docs, width).filter("doc_id <=> component_id").select("doc_id").distinct()
-    hit = docs.join(found.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return hit.dropDuplicates(["doc_id"])
+    heads = _placed(docs, width)[1].groupBy("root").agg(F.min("least").alias("head")).select(F.col("head.doc_id").alias("_doc"), F.col("head.h").alias("_head"))
+    rows = docs.withColumn("_h", text_hash(F.col("text")))
+    hit = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_head")), "left_semi")
+    return hit.dropDuplicates(["doc_id", "_h"]).drop("_h")

@@ -80,6 +80,9 @@ def test_links_in_a_crowded_ball(spark):
 def test_keep_one(spark):
     docs = spark.createDataFrame([(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "something else that is there for good"), (1, "a b c d e f g")], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2]
+    odd = [(None, "one text of its own"), (None, "one text of its own"), (None, "another that stands alone"), (None, "a b c d e f g"), (1, "a b c d e f g"), (1, "not at all like its namesake"), (None, None), (5, " ")]
+    kept = simhash.keep_one(spark.createDataFrame(odd, "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter({odd[0], odd[2], odd[4], odd[5], odd[7]})
 
 
 def test_components(spark):
