@@ -29,6 +29,7 @@ MOST_DRAWS = 64
 MALE = "Mr Herr Herrn Monsieur Señor Sr Signor Don Г-н Господин".split()
 FEMALE = "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Srta Signora Г-жа Госпожа".split()
 NEUTRAL = "Dr Prof".split()
+DOTTED = "Mr Mrs Ms Sr Sra Srta Mme Mlle Dr Prof".split()  # abbreviations; after the others a full stop ends a sentence
 MALE_NAMES = "James John Robert Michael William David Thomas Hans Peter Klaus Stefan Pierre Jean Louis Carlos José Juan Miguel Иван Сергей Дмитрий".split()
 FEMALE_NAMES = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Anna Petra Sabine Ursula Marie Sophie Claire María Carmen Lucía Ольга Анна Елена".split()
 
@@ -44,7 +45,7 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
     ("SSN", re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])")),
     ("PHONE", re.compile(r"(?<![\w.+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")),
 ]
-NAMES = re.compile(rf"\b(?:(?P<title>{_TITLES})\.?(?: +(?:Dr|Prof)\b\.?)* +(?P<titled>{_PART}(?: {_PART}){{0,2}})|(?P<given>{_GIVEN}) (?P<family>{_PART}))")
+NAMES = re.compile(rf"\b(?:(?P<title>{_TITLES})\b(?P<stop>\.?)(?: +(?:Dr|Prof)\b\.?)* +(?P<titled>{_PART}(?: {_PART}){{0,2}})|(?P<given>{_GIVEN}) (?P<family>{_PART}))")
 _HINT = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|key)")
 _WORDS = re.compile(r"[^ ]+")
 
@@ -94,6 +95,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for m in NAMES.finditer(text):
         group = "titled" if m["titled"] else "given"
         if m["titled"]:
+            if m["stop"] and m["title"] not in DOTTED:
+                continue
             gender = "m" if m["title"] in MALE else "f" if m["title"] in FEMALE else "n"
             parts = [(m.start("titled") + w.start(), m.start("titled") + w.end()) for w in _WORDS.finditer(m["titled"])]
         else:
