@@ -92,6 +92,16 @@ class Model:
         self.probability = {g: math.log(p) for g, p in plain.items() if p > 0}
         self.weight = {h: math.log(w) for h, w in weights.items() if h and w > 0}
 
+    def parts(self) -> tuple:
+        """What a model consists of, in plain types: executors need no copy of this package to read it."""
+        return self.order, self.unseen, self.probability, self.weight
+
+    @classmethod
+    def of(cls, parts: tuple) -> Model:
+        made = cls.__new__(cls)
+        made.order, made.unseen, made.probability, made.weight = parts
+        return made
+
     def word(self, word: str) -> float:
         """The log probability of a word's characters and the blank after it."""
         s, sum_, known, weight = f" {word} ", 0.0, self.probability, self.weight
@@ -145,10 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: int = ORD
 
 def scores(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, n_words, n_scored (characters, with a blank for each word) and nll of every row, and the extra columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words(shared.value)
+        known = _Words(Model.of(shared.value))
         for batch in batches:
             rows = []
             for text in batch.column(2).to_pylist():
