@@ -42,31 +42,37 @@ def _filled(c: Column) -> Column:
     return text.strip(F.coalesce(c, F.lit("")))
 
 
+def _some(c: Column) -> Column:
+    return F.coalesce(F.size(c), F.lit(0)) > 0
+
+
+def _each(node: Column, line) -> Column:
+    """line() of each of a node's list items, else of its kids, without blank ones."""
+    made = F.when(_some(node["list items"]), F.transform(node["list items"], line)).otherwise(F.transform(node["kids"], line))
+    return F.filter(F.coalesce(made, F.array().cast("array<string>")), lambda x: x != "")
+
+
+def _lines(*parts: Column) -> Column:
+    return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n")
+
+
 def flat_list(node: Column, depth: int = DEPTH, repeat: bool = False) -> Column:
-    """The lines of a list: each item's content, then its own items'. repeat: an item with items is named again before them."""
+    """The lines of a list: its own content, then each item's content and the item's own items. repeat: an item with items is named again before them."""
     own = _filled(node["content"])
-    if not depth:
-        return own
-    inner = F.when(F.size(node["list items"]) > 0, node["list items"]).otherwise(node["kids"])
+    return _lines(own, _items(node, depth, repeat)) if depth else own
+
 
+def _items(node: Column, depth: int, repeat: bool) -> Column:
     def item(child: Column) -> Column:
         line = _filled(child["content"])
         if depth == 1:
             return line
-        below = flat_list(child, depth - 1, repeat) if repeat else _below(child, depth - 1)
-        more = F.size(F.coalesce(child["list items"], child["kids"], F.array())) > 0
-        return F.array_join(F.filter(F.array(line, F.when(more, below).otherwise(F.lit(""))), lambda x: x != ""), "\n")
-
-    lines = F.concat(F.array(own), F.coalesce(F.transform(inner, item), F.array().cast("array<string>")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-
+        below = _items(child, depth - 1, repeat)
+        if repeat:
+            below = F.when(_some(child["list items"]) | _some(child["kids"]), _lines(line, below)).otherwise(below)
+        return _lines(line, below)
 
-def _below(child: Column, depth: int) -> Column:
-    """The lines of a child's own items, without its own content."""
-    if not depth:
-        return F.lit("")
-    inner = F.when(F.size(child["list items"]) > 0, child["list items"]).otherwise(child["kids"])
-    return F.array_join(F.filter(F.coalesce(F.transform(inner, lambda c: F.array_join(F.filter(F.array(_filled(c["content"]), _below(c, depth - 1)), lambda x: x != ""), "\n")), F.array().cast("array<string>")), lambda x: x != ""), "\n")
+    return F.array_join(_each(node, item), "\n")
 
 
 def cell_text(cell: Column) -> Column:
@@ -78,7 +84,7 @@ def cell_text(cell: Column) -> Column:
 def markdown_table(kid: Column) -> Column:
     """A table as Markdown: cells by column number, a rule below the first row, rows without cells left out; without rows its items as lines."""
     kid_rows = F.transform(F.filter(kid["kids"], lambda k: F.lower(k["type"]) == "row"), lambda k: F.struct(k["cells"].alias("cells")))
-    rows = F.when(F.size(kid["rows"]) > 0, F.transform(kid["rows"], lambda r: F.struct(F.when(F.size(r["cells"]) > 0, r["cells"]).otherwise(F.filter(r["kids"], lambda c: F.lower(c["type"]).isin("cell", "table-cell"))).alias("cells")))).otherwise(kid_rows)
+    rows = F.when(_some(kid["rows"]), F.transform(kid["rows"], lambda r: F.struct(F.when(_some(r["cells"]), r["cells"]).otherwise(F.filter(r["kids"], lambda c: F.lower(c["type"]).isin("cell", "table-cell"))).alias("cells")))).otherwise(kid_rows)
 
     def line(r: Column, i: Column) -> Column:
         numbered = F.transform(r["cells"], lambda c, k: F.struct(F.coalesce(c["column number"], F.lit(0)).alias("n"), k.alias("k"), F.replace(F.replace(cell_text(c), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")).alias("t")))
@@ -88,7 +94,7 @@ def markdown_table(kid: Column) -> Column:
         return F.when(F.size(cells) > 0, F.when(i == 0, F.concat(shown, rule)).otherwise(shown)).otherwise(F.lit(""))
 
     made = F.array_join(F.filter(F.transform(rows, line), lambda x: x != ""), "\n")
-    return F.when(F.size(rows) > 0, made).otherwise(flat_list(kid, 2))
+    return F.when(_some(rows), made).otherwise(flat_list(kid, 2))
 
 
 def label_map(labels: DataFrame) -> DataFrame:
