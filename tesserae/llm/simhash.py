@@ -64,7 +64,10 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     index = fps.select("fp", F.explode(keys).alias("key"))
     met = scratch.save(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1"), "met")
     near = met.filter("n = 2 and bit_count(u ^ v) <= 2").select("u", "v")
-    full = index.join(met.filter("n > 2").select("key"), "key").select("fp").distinct()
+    # the members of a fuller key have its segment with the wildcard's bit either way: two rows a fingerprint find them, not 64
+    ways = F.expr("transform(array(0L, shiftleft(1L, cast(shiftright(key, 32) & 31 as int))), bit -> shiftleft(shiftright(key, 37), 32) | (key & 4294967295L) | bit)")
+    fuller = met.filter("n > 2").select(F.explode(ways).alias("part")).distinct()
+    full = fps.select("fp", F.explode(F.expr(f"array({part[0]}, shiftleft(1L, 32) | {part[1]})")).alias("part")).join(fuller, "part").select("fp").distinct()
     ball = full.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("key"))
     ball = ball.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1").select(F.array_min("fps").alias("v"), F.explode("fps").alias("u"))  # 65 fingerprints at most
     return near.unionByName(ball.filter("u <> v").select("u", "v")).distinct()
