@@ -25,11 +25,12 @@ HEADS = r"(?md)^FOUND SECTIONS.*$|^GEFUNDENE ABSCHNITTE.*$|^--- Abschnitt \d+ --
 SOURCE = r"(?s)\[source: page (\d+), bboxes=(\[.*?\]), image_path='((?:[^'\\]|\\.)*)'"
 
 MARK = "\u0001"
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """c without Unicode white space at its ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def tokens(c: Column) -> Column:
@@ -40,10 +41,7 @@ def tokens(c: Column) -> Column:
 def is_noise(c: Column) -> Column:
     """Blank text, page furniture, rules and dot leaders."""
     s = strip(c)
-    found = s == ""
-    for pattern in NOISE:
-        found = found | s.rlike(pattern)
-    return found
+    return (s == "") | s.rlike("|".join(f"(?:{p})" for p in NOISE))
 
 
 def is_heading(c: Column) -> Column:

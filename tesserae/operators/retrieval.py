@@ -13,7 +13,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Candidates for each wanted result, hits examined for each wanted result before a filter, and results by default.
 MULTIPLIER, WINDOW, TOP_K = 4, 10, 15
 RERANK_CHARS = 512
-NO_RESULTS = "No results found."
+# What stands for nothing found.
+NO_RESULTS, NO_TABLE, NO_SECTION, NO_REGION = "Keine relevanten Abschnitte gefunden.", "No table found.", "Section not found.", "No region found on page."
 
 
 def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, post: Column | None = None, key: str = "vec_id") -> DataFrame:
@@ -39,14 +40,13 @@ def bm25_scores(candidates: DataFrame, queries: DataFrame, key: str = "doc_id",
 
     per_query: candidates carry a query_id and are a set for each query, over which all statistics are taken; else they
     are one set for all queries. A term in more than half of a set gets a share of the set's mean inverse frequency.
-    Repeated query terms count again. Only rows that share a term with the query are returned.
+    Repeated query terms count again. Only rows that share a term with the query are returned. What is shuffled are term
+    counts, summed in each task first, and the few terms that were asked for; the queries are a bounded batch.
     """
     group = ["query_id"] if per_query else []
     lists = candidates.select(*group, key, text.tokens(F.col("text")).alias("_tokens"))
     sizes = lists.groupBy(*group).agg(F.count("*").alias("_n"), F.avg(F.size("_tokens").cast("double")).alias("_avg"))
-    terms = lists.select(*group, key, F.size("_tokens").alias("_len"), F.explode("_tokens").alias("term"))
-    tf = terms.groupBy(*group, key, "term").agg(F.count("*").alias("_tf"), F.first("_len").alias("_len"))
-    df = terms.select(*group, key, "term").distinct().groupBy(*group, "term").agg(F.count("*").alias("_df"))
+    df = lists.select(*group, F.explode(F.array_distinct("_tokens")).alias("term")).groupBy(*group, "term").agg(F.count("*").alias("_df"))
     with_n = df.join(F.broadcast(sizes), group) if group else df.crossJoin(F.broadcast(sizes))
     raw = with_n.withColumn("_idf", F.ln(F.col("_n") - F.col("_df") + F.lit(0.5)) - F.ln(F.col("_df") + F.lit(0.5)))
     mean = raw.groupBy(*group).agg(F.avg("_idf").alias("_mean"))
@@ -57,8 +57,9 @@ def bm25_scores(candidates: DataFrame, queries: DataFrame, key: str = "doc_id",
     asked = asked.select("query_id", "term", "_times", "_avg", idf.alias("_idf"))
     length = F.lit(1 - B) + F.lit(B) * F.col("_len") / F.col("_avg")
     part = F.col("_times") * F.col("_idf") * F.col("_tf") * F.lit(K1 + 1) / (F.col("_tf") + F.lit(K1) * length)
-    met = tf.join(F.broadcast(asked), [*group, "term"])
-    return met.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    met = lists.select(*group, key, F.size("_tokens").alias("_len"), F.explode("_tokens").alias("term")).join(F.broadcast(asked), [*group, "term"])
+    tf = met.groupBy("query_id", key, "term", "_len", "_times", "_avg", "_idf").agg(F.count("*").alias("_tf"))  # a row's terms are summed where it is read
+    return tf.groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
 def decayed(scored: DataFrame, k: int, key: str = "doc_id", page: str = "page_number", prior: str | None = None) -> DataFrame:
@@ -134,13 +135,13 @@ def table_first(rows: DataFrame, chunk_type: str = "chunk_type") -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k").withColumn("csv", text.table_to_csv(F.col("text")))
 
 
-def summarise(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """For each query the texts of its rows in order, their boxes, and the first row's page and image; NO_RESULTS without rows."""
+def summarise(queries: DataFrame, rows: DataFrame, empty: str = NO_SECTION) -> DataFrame:
+    """For each query the texts of its rows in order, their boxes, and the first row's page and image; the text empty without rows."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text", "bboxes", F.col("page_number").alias("page"), "image_path")))
     made = rows.groupBy("query_id").agg(ordered.alias("_r")).select(
         "query_id", F.array_join(F.col("_r.text"), "\n\n").alias("content"), F.flatten(F.col("_r.bboxes")).alias("bboxes"), F.get("_r", F.lit(0))["page"].alias("page"), F.get("_r", F.lit(0))["image_path"].alias("image")
     )
-    return queries.select("query_id").join(made, "query_id", "left").withColumn("content", F.coalesce("content", F.lit(NO_RESULTS)))
+    return queries.select("query_id").join(made, "query_id", "left").withColumn("content", F.coalesce("content", F.lit(empty)))
 
 
 def highlight(rows: DataFrame, page: Column, fallback: int = 3) -> DataFrame:
