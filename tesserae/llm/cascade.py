@@ -106,8 +106,6 @@ RULES: dict[str, Callable[[Text], bool]] = {
     "one_word": lambda t: 4 * t.top_word > t.n_words,
     "repeats": lambda t: 100 * t.n_repeat_words > 30 * t.n_words,
 }
-#: The base verdict: n_words < 20, or 100 * n_repeat_words > 30 * n_words.
-BASE = ("few_words", "repeats")
 
 
 def estimate(docs: DataFrame, rules: dict[str, Callable[[Text], bool]], sample: int) -> list[tuple[str, float, float]]:

@@ -58,15 +58,16 @@ def mix(docs: DataFrame, weights: dict[str, float], other: float, seed: int = 17
     weights: of the named sources; other: of all other sources together, null included. The rows of one source share its
     rate. Size is measured in code points of text unless measure says otherwise; a null text has none, yet is replicated
     like any row of its source. Rows under one doc_id with one text have the same count each. An empty table gives an
-    empty result. Columns that are called copy or mix_key are replaced.
+    empty result. Columns that are called copy or mix_key are replaced, all others kept; names that
+    begin with __tess are the operator's own.
     """
     measure = F.coalesce(F.length("text"), F.lit(0)) if measure is None else measure
-    table = docs.sparkSession.createDataFrame([(s, steps(r)) for s, r in rates(docs, weights, other, total, measure) if r > 0], "_bucket string, _steps array<double>")
+    table = docs.sparkSession.createDataFrame([(s, steps(r)) for s, r in rates(docs, weights, other, total, measure) if r > 0], "__tess_bucket string, __tess_steps array<double>")
     named = F.when(F.col("source").isin(*weights), F.col("source")) if weights else F.lit(None).cast("string")
     docs = docs.drop("copy", "mix_key")
-    met = docs.withColumn("_named", named).join(F.broadcast(table), F.col("_named").eqNullSafe(F.col("_bucket")))  # a row for each weight
-    met = met.withColumn("_u", uniform(F.lit(seed), F.col("doc_id")))
-    count = F.size(F.filter("_steps", lambda p: p <= F.col("_u")))
-    spread = met.withColumn("_n", count).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    met = docs.withColumn("__tess_named", named).join(F.broadcast(table), F.col("__tess_named").eqNullSafe(F.col("__tess_bucket")))  # a row for each weight
+    met = met.withColumn("__tess_u", uniform(F.lit(seed), F.col("doc_id")))
+    count = F.size(F.filter("__tess_steps", lambda p: p <= F.col("__tess_u")))
+    spread = met.withColumn("__tess_n", count).filter("__tess_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__tess_n") - 1)))
     spread = spread.withColumn("mix_key", uniform(F.lit(seed + 1), F.col("doc_id"), F.col("copy")))
-    return spread.drop("_bucket", "_steps", "_named", "_u", "_n").orderBy("mix_key", "doc_id", "copy")
+    return spread.drop("__tess_bucket", "__tess_steps", "__tess_named", "__tess_u", "__tess_n").orderBy("mix_key", "doc_id", "copy")

@@ -82,8 +82,7 @@ class Codec:
     def __init__(self, data: bytes):
         pieces = read_model(data)
         self.pieces = [p for p, _, _ in pieces]
-        self.kinds = [k for _, _, k in pieces]
-        self.unknown = next((i for i, k in enumerate(self.kinds) if k == 2), 0)
+        self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == 2), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == 6}
         self.automaton = ahocorasick.Automaton()
         scores = [s for _, s, k in pieces if k in (1, 4)]

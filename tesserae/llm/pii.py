@@ -241,7 +241,8 @@ def pseudonymise(docs: DataFrame, key: bytes, most_sent: int = MOST_SENT) -> Dat
 
     Equal entities get equal surrogates across all rows, different ones of a kind different ones, none of them a value
     that the corpus has of that kind. Texts without entities are unchanged; a null text stays null; repeated rows stay
-    alike; an empty table gives an empty result. Columns called n_entities are replaced, others are kept.
+    alike; an empty table gives an empty result. Columns called n_entities are replaced, others are kept; names that
+    begin with __tess are the operator's own.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
@@ -270,13 +271,13 @@ def pseudonymise(docs: DataFrame, key: bytes, most_sent: int = MOST_SENT) -> Dat
             rows = [(h, k, c) for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, c in {(k, c) for _, _, k, c in detect(text or "")}]
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["h", "kind", "canon"])
 
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    own = keyed.select("_h", F.col("text").cast("string")).mapInArrow(mentions, "h bigint, kind string, canon string").distinct()
-    own = own.join(again, ["kind", "canon"]).groupBy("h").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_own"))
+    keyed = docs.withColumn("__tess_h", F.xxhash64("text"))
+    own = keyed.select("__tess_h", F.col("text").cast("string")).mapInArrow(mentions, "h bigint, kind string, canon string").distinct()
+    own = own.join(again, ["kind", "canon"]).groupBy(F.col("h").alias("__tess_own_h")).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__tess_own"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tables = [{(x["kind"], x["canon"]): x["attempt"] for x in own or ()} for own in batch.column(len(names)).to_pylist()]
             yield out(batch, [(None, 0) if t is None else replace(t, key, a) for t, a in zip(batch.column(at).to_pylist(), tables, strict=True)])
 
-    return keyed.join(own, keyed["_h"] == own["h"], "left").select(*names, "_own").mapInArrow(each, schema)
+    return keyed.join(own, F.col("__tess_h") == F.col("__tess_own_h"), "left").select(*names, "__tess_own").mapInArrow(each, schema)

@@ -46,13 +46,14 @@ def slot(keys: list[Column], slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, shards: list[str], keys: list[str], slots: int = SLOTS) -> DataFrame:
-    """df with slot and shard. Rows with equal keys get one shard, nulls as empty text; columns so called are replaced.
+    """df with slot and shard. Rows with equal keys get one shard, nulls as empty text; columns so called are replaced, all others
+    kept; names that begin with __tess are the operator's own.
 
     The table of slots rows is broadcast: its size is a parameter and doesn't grow with the data. No row moves.
     """
-    table = df.sparkSession.createDataFrame([(k, shards[s]) for k, s in enumerate(lookup(shards, slots).tolist())], "_slot int, shard string")
-    met = df.drop("slot", "shard").withColumn("slot", slot([F.col(k) for k in keys], slots)).join(F.broadcast(table), F.col("slot") == F.col("_slot"), "left")
-    return met.drop("_slot")
+    table = df.sparkSession.createDataFrame([(k, shards[s]) for k, s in enumerate(lookup(shards, slots).tolist())], "__tess_slot int, shard string")
+    met = df.drop("slot", "shard").withColumn("slot", slot([F.col(k) for k in keys], slots)).join(F.broadcast(table), F.col("slot") == F.col("__tess_slot"), "left")
+    return met.drop("__tess_slot")
 
 
 def write(df: DataFrame, path: str, files: int = 1, key: str = "doc_id") -> None:

@@ -99,9 +99,10 @@ def _placed(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs without all but one document of each component: the one with the smallest doc_id, of its texts the one with the
-    least hash, and of its repeated rows one. Documents without doc_id come last.
+    least hash, and of its repeated rows one. Documents without doc_id come last. Names of columns that begin with __tess are
+    the operator's own.
     """
-    heads = _placed(docs, width)[1].groupBy("root").agg(F.min("least").alias("head")).select(F.col("head.doc_id").alias("_doc"), F.col("head.h").alias("_head"))
-    rows = docs.withColumn("_h", text_hash(F.col("text")))
-    hit = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_head")), "left_semi")
-    return hit.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    heads = _placed(docs, width)[1].groupBy("root").agg(F.min("least").alias("head")).select(F.col("head.doc_id").alias("__tess_doc"), F.col("head.h").alias("__tess_head"))
+    rows = docs.withColumn("__tess_h", text_hash(F.col("text")))
+    hit = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__tess_doc")) & (F.col("__tess_h") == F.col("__tess_head")), "left_semi")
+    return hit.dropDuplicates(["doc_id", "__tess_h"]).drop("__tess_h")

@@ -81,12 +81,13 @@ def test_steps_are_the_distribution():
 
 def test_mix_meets_weights_and_shuffles(spark):
     docs = spark.createDataFrame([(i, "x" * 10, "big" if i % 3 else "small", i, 7.0) for i in range(6000)], "doc_id bigint, text string, source string, copy bigint, _u double")
-    rows = mixing.mix(docs.drop("_u"), {"big": 0.3}, 0.7).collect()
+    rows = mixing.mix(docs, {"big": 0.3}, 0.7).collect()
     share = Counter(r.source for r in rows)
     assert share["small"] / len(rows) == pytest.approx(0.7, abs=0.03) and len(rows) == pytest.approx(6000, rel=0.05)
+    assert {r._u for r in rows} == {7.0}
     assert [r.mix_key for r in rows] == sorted(r.mix_key for r in rows)
     assert abs(sum(a.doc_id < b.doc_id for a, b in zip(rows, rows[1:], strict=False)) / len(rows) - 0.5) < 0.05
-    again = mixing.mix(docs.drop("_u").repartition(7), {"big": 0.3}, 0.7).collect()
+    again = mixing.mix(docs.repartition(7), {"big": 0.3}, 0.7).collect()
     assert rows == again
     copies = Counter(r.doc_id for r in rows if r.source == "small")
     n, rate = 2000, 0.7 * 6000 / 2000
@@ -169,6 +170,14 @@ def test_sql_agrees(spark):
         assert Counter(tuple(r[c] for c in cols) for r in df.collect()) == want, name
 
 
+def test_clashing_columns_are_kept(spark):
+    names = "_u _n _slot _bucket _steps _doc _head _h _own h fp kind canon attempt surrogate least root node".split()
+    docs = spark.createDataFrame([(1, "call (310) 555-1234 now, or never again", "a", *names), (2, "other words stand in this one here", "a", *names)], f"doc_id bigint, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    for made in (mixing.mix(docs, {"a": 1.0}, 0.0, total=500.0), sharding.place(docs, ["x", "y"], ["doc_id"], 11), simhash.keep_one(docs), pii.pseudonymise(docs, b"k"), pii.pseudonymise(docs, b"k", -1)):
+        rows = made.collect()
+        assert rows and all(r[n] == n for r in rows for n in names)
+
+
 def test_all_are_registered():
     names = set(entry.queries())
     assert {f.split("_")[0] for f in queries.queries()} == {f"op{k}" for k in range(1, 11)}
