@@ -1,18 +1,21 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model is of characters within words, a blank before and after each, so that words it never met are still judged by
-their spelling. Its counts are sharded by n-gram: sums, left continuations and contexts are grouped and joined on n-gram
-keys. It is trained on a bounded sample of trusted rows, so the joined model has a proven size and goes to the workers,
-where each word's score is looked up n-gram by n-gram; dealing out every n-gram of every document instead would shuffle
-many times the input. A document's perplexity, drawn towards its language's mean by PRIOR characters so that short texts
-aren't judged by chance, is held against its language's quantile over all trusted rows outside the sample.
+their spelling. It is trained on the whole texts of all trusted documents with an even hash, so it grows with the corpus.
+Its counts are sharded by n-gram: sums, left continuations, contexts and the probabilities of each length are grouped and
+joined on n-gram keys. A model of at most MOST_SENT n-grams goes to the workers, which look words up in it; a larger one
+stays sharded, and the n-grams of the corpus' distinct words are joined to it. Both give the same scores. A document's
+perplexity, drawn towards its language's mean by PRIOR characters so that short texts aren't judged by chance, is held
+against its language's quantile over all trusted documents with an odd hash.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +24,20 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches
 
-#: Characters of the longest n-gram; documents in the sample and code points of each at most; n-grams of the model at most.
-ORDER, SAMPLE, SAMPLE_CHARS, MOST_GRAMS = 5, 4_000, 20_000, 250_000
+#: Characters of the longest n-gram.
+ORDER = 5
+#: n-grams (24 bytes each) and ids (8 bytes) that are sent to every worker; more are joined.
+MOST_SENT, MOST_IDS = 2_000_000, 1_000_000
 #: A language's threshold is this quantile of trusted documents' scores, times MARGIN; weight of the language's mean in characters.
 QUANTILE, MARGIN, PRIOR = 0.999, 1.2, 40
 #: Languages with thresholds of their own, most frequent first, and the trusted documents that each needs.
 LANGUAGES, LEAST_TRUSTED = 1_000, 20
-#: Words whose scores a worker keeps.
-CACHE = 300_000
+#: Words whose scores a worker keeps, n-grams that it counts before it passes them on, characters that it scores at a time.
+CACHE, HELD, BLOCK = 300_000, 200_000, 1 << 18
 
 _BLANKS = "[\\x20\\x09-\\x0D]+"
 _WORDS, _OTHER_BLANKS = re.compile(r"[^\x20\x09-\x0D]+"), re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_U = np.uint64
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -39,13 +45,46 @@ def trusted(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id")
 
 
+def half(ids: DataFrame, odd: bool) -> DataFrame:
+    """The ids with an odd hash, or those with an even one."""
+    return ids.filter(F.xxhash64("doc_id").bitwiseAND(F.lit(1)) == int(odd))
+
+
+def split(text: str) -> list[str]:
+    """The words of a text; str.split() knows more blanks than are meant here."""
+    return _WORDS.findall(text) if _OTHER_BLANKS.search(text) else text.split()
+
+
 def grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n): counts of the n-grams up to order that end in a word's characters or the blank after it."""
-    words = texts.select(F.explode(F.split("text", _BLANKS)).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    spelled = words.select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("s"), "n")
-    ends = spelled.select("s", "n", F.explode(F.sequence(F.lit(2), F.length("s"))).alias("e"))
-    cut = ends.select("n", F.explode(F.expr(f"transform(sequence(1, least({order}, e)), k -> substring(s, e - k + 1, k))")).alias("gram"))
-    return cut.groupBy("gram").agg(F.sum("n").alias("n"))
+    """(gram, n): counts of the n-grams up to order that end in a word's characters or the blank after it.
+
+    Workers pass on sums of at most about HELD n-grams, however long a text or a word is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
+            held.clear()
+            return made
+
+        for batch in batches:
+            words: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                words.update(split(text or ""))
+            for word, n in words.items():
+                s = f" {word} "
+                for a in range(2, len(s) + 1, 1 << 14):
+                    for e in range(a, min(a + (1 << 14), len(s) + 1)):
+                        for b in range(max(0, e - order), e):
+                            held[s[b:e]] += n
+                    if len(held) > HELD:
+                        yield out()
+        yield out()
+
+    bound_batches(texts.sparkSession)
+    return texts.select(F.col("text").cast("string")).mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def counts(raw: DataFrame, order: int = ORDER) -> DataFrame:
@@ -74,111 +113,239 @@ def discounts(counted: DataFrame) -> dict[int, tuple[float, float, float]]:
     return out
 
 
-class Model:
-    """probability: n-gram to log probability of its last character; weight: context to log weight of the shorter one."""
-
-    def __init__(self, rows: list[tuple], reduced: dict[int, tuple[float, float, float]], order: int):
-        self.order = order
-        symbols = sum(len(r[0]) == 1 for r in rows)
-        plain: dict[str, float] = {}
-        weights: dict[str, float] = {}
-        for gram, c, total, n1, n2, n3 in sorted(rows, key=lambda r: len(r[0])):
-            d = reduced[len(gram)]
-            h = gram[:-1]
-            weights[h] = (d[0] * n1 + d[1] * n2 + d[2] * n3) / total
-            lower = plain.get(gram[1:], 0.0) if len(gram) > 1 else 1.0 / (symbols + 256)
-            plain[gram] = max(c - d[min(c, 3) - 1], 0.0) / total + weights[h] * lower
-        self.unseen = math.log(weights.get("", 1.0) / (symbols + 256))
-        self.probability = {g: math.log(p) for g, p in plain.items() if p > 0}
-        self.weight = {h: math.log(w) for h, w in weights.items() if h and w > 0}
-
-    def parts(self) -> tuple:
-        """What a model consists of, in plain types: executors need no copy of this package to read it."""
-        return self.order, self.unseen, self.probability, self.weight
-
-    @classmethod
-    def of(cls, parts: tuple) -> Model:
-        made = cls.__new__(cls)
-        made.order, made.unseen, made.probability, made.weight = parts
-        return made
-
-    def word(self, word: str) -> float:
-        """The log probability of a word's characters and the blank after it."""
-        s, sum_, known, weight = f" {word} ", 0.0, self.probability, self.weight
-        for e in range(2, len(s) + 1):
-            for b in range(max(0, e - self.order), e):
-                p = known.get(s[b:e])
-                if p is not None:
-                    sum_ += p
-                    break
-                sum_ += weight.get(s[b : e - 1], 0.0)
-            else:
-                sum_ += self.unseen
-        return sum_
-
-
-class _Words(dict):
-    """Log probabilities of words, kept while there are at most CACHE."""
+def unseen(counted: DataFrame, reduced: dict[int, tuple[float, float, float]]) -> tuple[float, float]:
+    """Probability of a character, all alike, of which 256 are kept for unknown ones; log probability of an unknown one."""
+    row = counted.filter("length(gram) = 1").agg(F.count("*").alias("symbols"), *(F.max(c).alias(c) for c in ("total", "n1", "n2", "n3"))).first()
+    alike, d = 1.0 / (row["symbols"] + 256), reduced[1]
+    return alike, math.log((d[0] * row["n1"] + d[1] * row["n2"] + d[2] * row["n3"]) / row["total"] * alike)
 
-    def __init__(self, model: Model):
-        self.model = model
 
-    def __missing__(self, word: str) -> float:
-        found = self.model.word(word)
-        if len(self) >= CACHE:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = found
-        return found
+def probabilities(counted: DataFrame, reduced: dict[int, tuple[float, float, float]], alike: float, scratch: Scratch, order: int = ORDER) -> DataFrame:
+    """(gram, p, w): the log probability of an n-gram's last character, and the log weight of the shorter context after it as context.
 
+    Each length is joined to the one below it, on the n-gram without its first character. Either may be null.
+    """
+    levels, weights = [], []
+    for k in range(1, order + 1):
+        d = reduced.get(k, (0.5, 1.0, 1.5))
+        own = counted.filter(F.length("gram") == k).withColumn("w", (F.lit(d[0]) * F.col("n1") + F.lit(d[1]) * F.col("n2") + F.lit(d[2]) * F.col("n3")) / F.col("total"))
+        if k == 1:
+            own = own.withColumn("below", F.lit(alike))
+        else:
+            own = own.join(levels[-1].select(F.col("gram").alias("rest"), F.col("p").alias("below")), F.expr("substring(gram, 2)") == F.col("rest"), "left")
+            weights.append(own.select(F.expr(f"substring(gram, 1, {k - 1})").alias("h"), "w").distinct())
+        less = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        p = F.greatest(F.col("c") - less, F.lit(0.0)) / F.col("total") + F.col("w") * F.coalesce("below", F.lit(0.0))
+        levels.append(scratch.save(own.select("gram", p.alias("p")), f"level{k}"))
+    known, backoff = levels[0], weights[0] if weights else None
+    for more in levels[1:]:
+        known = known.unionByName(more)
+    for more in weights[1:]:
+        backoff = backoff.unionByName(more)
+    backoff = backoff if backoff is not None else counted.limit(0).select(F.col("gram").alias("h"), F.lit(0.0).alias("w"))
+    met = known.join(backoff, F.col("gram") == F.col("h"), "full")
+    positive = lambda c: F.when(F.col(c) > 0, F.ln(c))
+    return met.select(F.coalesce("gram", "h").alias("gram"), positive("p").alias("p"), positive("w").alias("w"))
+
+
+def _keys(codes: np.ndarray, order: int) -> list[np.ndarray]:
+    """By length up to order, 64-bit hashes of the n-grams that begin at each code point."""
+    h, out = np.zeros(len(codes), _U), []
+    for k in range(order):
+        n = max(0, len(codes) - k)
+        h = (h[:n] + codes[k:] + _U(1)) * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(29)
+        h *= _U(0xC2B2AE3D27D4EB4F)
+        h ^= h >> _U(32)
+        out.append(h)
+    return out
 
-def split(text: str) -> list[str]:
-    """The words of a text; str.split() knows more blanks than are meant here."""
-    return _WORDS.findall(text) if _OTHER_BLANKS.search(text) else text.split()
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: int = ORDER, sample: int = SAMPLE) -> tuple[Model | None, DataFrame]:
-    """The model, None without trusted text, and the ids of its sample: of the trusted ones with an even hash those with the least."""
-    ids = trusted(labels).join(docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id").distinct(), "doc_id", "left_semi")
-    halves = ids.filter(F.xxhash64("doc_id").bitwiseAND(F.lit(1)) == 0)
-    ids = scratch.save((ids if halves.isEmpty() else halves).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample")
-    texts = docs.filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    raw = scratch.save(grams(texts, order), "grams")
-    least, size = 1, raw.count()
-    while size > MOST_GRAMS:
-        least *= 2
-        size = raw.filter((F.col("n") >= least) | (F.length("gram") < 3)).count()
-    counted = scratch.save(counts(raw.filter((F.col("n") >= least) | (F.length("gram") < 3)), order), "counts")
-    rows = [tuple(r) for r in counted.collect()]  # MOST_GRAMS at most
-    return (Model(rows, discounts(counted), order) if rows else None), ids
+def sent(model: DataFrame, log_unseen: float, order: int = ORDER) -> tuple:
+    """A model as arrays, which executors can read without this package: hashes of its n-grams in order, their p and w."""
+    table = model.toArrow()
+    names = table["gram"].to_pylist()
+    size = np.fromiter(map(len, names), np.int64, len(names))
+    at, every = np.cumsum(size) - size, _keys(_codes("".join(names)), order)
+    keys = np.zeros(len(names), _U)
+    for k in range(order):
+        keys[size == k + 1] = every[k][at[size == k + 1]]
+    ranks = np.argsort(keys)
+    if (np.diff(keys[ranks]) == 0).any():
+        raise ValueError("two n-grams of the model have one hash")
+    p, w = (table[c].to_numpy().astype(np.float64)[ranks] for c in ("p", "w"))
+    return order, log_unseen, keys[ranks], p, np.nan_to_num(w, nan=0.0)
 
 
-def scores(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFrame:
+class Model:
+    """Scores words with the arrays that sent() made."""
+
+    def __init__(self, parts: tuple):
+        self.order, self.unseen, self.keys, self.p, self.w = parts
+        bits = max(1, len(self.keys).bit_length() + 1)
+        self.shift = _U(64 - bits)
+        self.first = np.append(np.searchsorted(self.keys, np.arange(1 << bits, dtype=_U) << self.shift), len(self.keys))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each hash among the keys, or -1: keys with the same leading bits are tried in order."""
+        bucket = (wanted >> self.shift).astype(np.int64)
+        at, end, out = self.first[bucket], self.first[bucket + 1], np.full(len(wanted), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            key, want = self.keys[at[live]], wanted[live]
+            hit = live[key == want]
+            out[hit] = at[hit]
+            live = live[key < want]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        """The log probability of each character but the first of blank-separated words with a blank on both sides."""
+        n, order = len(codes), self.order
+        place = np.arange(n)
+        last = np.maximum.accumulate(np.where(codes == 32, place, -order))
+        depth = np.minimum(order, place - np.concatenate(([-order], last[:-1])) + 1)  # from the blank before a word
+        keys, out, open_ = _keys(codes, order), np.zeros(n), place > 0
+        for k in range(order, 0, -1):
+            ends = np.flatnonzero(open_ & (depth >= k) & (place >= k - 1))
+            found = self.find(keys[k - 1][ends - k + 1])
+            p = np.where(found >= 0, self.p[found], np.nan) if len(self.p) else np.full(len(ends), np.nan)
+            known = ~np.isnan(p)
+            out[ends[known]] += p[known]
+            open_[ends[known]] = False
+            rest = ends[~known]
+            if k == 1:
+                out[rest] += self.unseen
+            elif len(self.w):
+                h = self.find(keys[k - 2][rest - k + 1])
+                out[rest] += np.where(h >= 0, self.w[h], 0.0)
+        return out
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The log probability of each word's characters and the blank after it."""
+        if not words:
+            return np.zeros(0)
+        codes = _codes(f" {' '.join(words)} ")
+        logs, back = np.zeros(len(codes)), self.order
+        for a in range(0, len(codes), BLOCK):
+            b = max(0, a - back)  # as much of what comes before as an n-gram can reach
+            logs[a : a + BLOCK] = self.logs(codes[b : a + BLOCK])[a - b :]
+        return np.add.reduceat(logs[1:], np.flatnonzero(codes == 32)[:-1])
+
+
+class _Texts:
+    """Scores of texts; those of words are kept while there are at most CACHE."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def score(self, texts: list[str | None]) -> Iterator[tuple[int, int, float]]:
+        """(words, characters with a blank for each word, negative log probability) of each text."""
+        lists = [split(t or "") for t in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        fresh = list(set(chain.from_iterable(lists)) - self.known.keys())
+        self.known.update(zip(fresh, self.model.words(fresh).tolist(), strict=True))
+        for words in lists:
+            yield len(words), sum(map(len, words)) + len(words), -math.fsum(map(self.known.__getitem__, words))
+        for word in fresh:
+            if len(word) > 64:
+                del self.known[word]
+
+
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: int = ORDER) -> tuple[DataFrame, float] | None:
+    """The model's table and the log probability of an unknown character; None without trusted text.
+
+    Trained on all trusted documents with an even hash, or on all if none has one.
+    """
+    ids = trusted(labels).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    even = half(ids, False)
+    ids = scratch.save(ids if even.isEmpty() else even, "training")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_semi").select("text")
+    counted = scratch.save(counts(scratch.save(grams(texts, order), "grams"), order), "counts")
+    if counted.isEmpty():
+        return None
+    reduced = discounts(counted)
+    alike, log_unseen = unseen(counted, reduced)
+    return scratch.save(probabilities(counted, reduced, alike, scratch, order), "model"), log_unseen
+
+
+def scores(docs: DataFrame, model: DataFrame, log_unseen: float, extra: tuple[str, ...] = (), order: int = ORDER, most_sent: int = MOST_SENT) -> DataFrame:
     """doc_id, lang, n_words, n_scored (characters, with a blank for each word) and nll of every row, and the extra columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
+    rest = [F.col(c) for c in extra if c != "text"]
+    docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *rest)
+    if model.count() > most_sent:
+        return _joined_scores(docs, model, log_unseen, order).select("doc_id", "lang", "n_words", "n_scored", "nll", *extra)
+    shared = docs.sparkSession.sparkContext.broadcast(sent(model, log_unseen, order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words(Model.of(shared.value))
+        texts = _Texts(Model(shared.value))
         for batch in batches:
-            rows = []
+            rows, group, size = [], [], 0
             for text in batch.column(2).to_pylist():
-                words = split(text or "")
-                rows.append((len(words), len("".join(words)) + len(words), -sum(map(known.__getitem__, words))))
-            n = np.array(rows, np.float64).reshape(-1, 3)
-            made = [pa.array(n[:, 0].astype(np.int64)), pa.array(n[:, 1].astype(np.int64)), pa.array(n[:, 2])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *(batch.column(k) for k in range(2, 2 + bool(extra) * len(extra)))], ["doc_id", "lang", "n_words", "n_scored", "nll", *extra])
+                group.append(text)
+                size += len(text or "")
+                if size >= BLOCK:
+                    rows += texts.score(group)
+                    group, size = [], 0
+            rows += texts.score(group)
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *(batch.column(c) for c in extra)], ["doc_id", "lang", "n_words", "n_scored", "nll", *extra])
 
     bound_batches(docs.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = f"doc_id {kind['doc_id']}, lang string, n_words bigint, n_scored bigint, nll double" + "".join(f", {c} {kind[c]}" for c in extra)
-    rest = [F.col(c) for c in extra if c != "text"]
-    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *rest).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
-def limits(scored: DataFrame, labels: DataFrame, sample: DataFrame, quantile: float = QUANTILE) -> tuple[list[tuple[str, float, float]], tuple[float, float] | None]:
-    """(lang, mean, threshold) of the languages, and of all together; of trusted rows outside the sample, or in it if there are none."""
+def _joined_scores(docs: DataFrame, model: DataFrame, log_unseen: float, order: int) -> DataFrame:
+    """docs with n_words, n_scored and nll: the n-grams of the distinct words are joined to the sharded model, words to texts."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = f" {word} "
+                for e in range(2, len(s) + 1):
+                    rows += ((key, e, e - b, s[b:e]) for b in range(max(0, e - order), e))
+                    if len(rows) >= 1 << 16:
+                        yield pack(rows)
+                        rows = []
+            yield pack(rows)
+
+    def pack(rows):
+        cols = zip(*rows, strict=True) if rows else [[]] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["w", "e", "k", "gram"])
+
+    bound_batches(docs.sparkSession)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), _BLANKS), lambda w: w != "")
+    keyed = docs.withColumn("__tess_t", F.md5(F.coalesce("text", F.lit(""))))
+    # rows with one text are counted together, then shared out: a text's own words are n / copies
+    counted = keyed.select("__tess_t", F.explode(words).alias("word")).groupBy("__tess_t", "word").agg(F.count("*").alias("n"))
+    copies = keyed.groupBy("__tess_t").agg(F.count("*").alias("copies"))
+    spots = counted.select("word").distinct().select(F.md5("word").alias("w"), "word").mapInArrow(cut, "w string, e bigint, k int, gram string")
+    p, weight = model.select("gram", "p"), model.select(F.col("gram").alias("h"), F.col("w").alias("weight"))
+    met = spots.join(p, "gram", "left").join(weight, F.expr("substring(gram, 1, k - 1)") == F.col("h"), "left")
+    longest = F.max(F.when(F.col("p").isNotNull(), F.struct("k", "p")))
+    steps = F.collect_list(F.struct("k", F.coalesce("weight", F.lit(0.0)).alias("weight")))  # one for each length up to order
+    best = met.groupBy("w", "e").agg(longest.alias("best"), steps.alias("steps"))
+    backed = F.expr("aggregate(filter(steps, x -> x.k > coalesce(best.k, 1)), 0D, (s, x) -> s + x.weight)")
+    scored = best.groupBy("w").agg(F.sum(F.coalesce("best.p", F.lit(log_unseen)) + backed).alias("log"))
+    per_text = counted.select("__tess_t", F.md5("word").alias("w"), "n").join(scored, "w").groupBy("__tess_t").agg(F.sum(F.col("n") * F.col("log")).alias("log"))
+    per_text = per_text.join(copies, "__tess_t").select("__tess_t", (-F.col("log") / F.col("copies")).alias("nll"))
+    sized = keyed.join(per_text, "__tess_t", "left").withColumn("nll", F.coalesce("nll", F.lit(0.0))).withColumn("n_words", F.size(words).cast("bigint"))
+    return sized.withColumn("n_scored", F.aggregate(words, F.col("n_words"), lambda s, w: s + F.length(w))).drop("__tess_t")
+
+
+def limits(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[list[tuple[str, float, float]], tuple[float, float] | None]:
+    """(lang, mean, threshold) of the languages, and of all together; of trusted rows with an odd hash, or of all if there are none."""
     held = scored.join(trusted(labels), "doc_id", "left_semi").filter("n_scored > 0")
-    outside = held.join(F.broadcast(sample), "doc_id", "left_anti")
+    outside = half(held, True)
     outside = held if outside.isEmpty() else outside
     mean = (F.sum("nll") / F.sum("n_scored")).alias("mean")
     whole = outside.agg(mean).first()["mean"]
@@ -209,15 +376,15 @@ def judged(docs: DataFrame, labels: DataFrame, extra: tuple[str, ...] = (), quan
     result. labels: (doc_id, quality, toxic, ...); of several labels the worst counts, null is as 0.
     """
     scratch = Scratch(docs.sparkSession, "kneser")
-    model, sample = train(docs, labels, scratch)
+    model = train(docs, labels, scratch)
     if model is None:
-        model = Model([], {}, ORDER)
-        whole, by_lang = None, []
-        narrow = None
+        by_lang, whole = [], None
+        empty = docs.sparkSession.createDataFrame([], "gram string, p double, w double")
+        found = scores(docs, empty, 0.0, extra)
     else:
-        narrow = scratch.save(scores(docs, model), "scores")
-        by_lang, whole = limits(narrow, labels, sample, quantile)
-    found = scores(docs, model, extra) if extra or narrow is None else narrow
+        found = scratch.save(scores(docs, *model), "scores")
+        by_lang, whole = limits(found, labels, quantile)
+        found = scores(docs, *model, extra) if extra else found
     out = docs_limits(found, by_lang, whole or (0.0, float("inf")))
     known = (F.col("n_scored") > 0) & F.lit(whole is not None)
     return out.select(

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tesserae.llm import cascade, kneser_ney, pii, piece, queries
+from tesserae.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 SF1 = "/root/testdata/sf0.01"
@@ -59,16 +60,39 @@ def test_model_is_kneser_ney(spark):
     counts = {r.gram: r.n for r in raw.collect()}
     assert counts[" th"] == 7 and counts["the"] == 6 and counts[" "] == 20 and " t" in counts
     counted = kneser_ney.counts(raw, 3)
-    model = kneser_ney.Model([tuple(r) for r in counted.collect()], kneser_ney.discounts(counted), 3)
+    reduced = kneser_ney.discounts(counted)
+    alike, log_unseen = kneser_ney.unseen(counted, reduced)
+    table = kneser_ney.probabilities(counted, reduced, alike, Scratch(spark, "model"), 3)
+    model = kneser_ney.Model(kneser_ney.sent(table, log_unseen, 3))
     p = plain_probability(counts, 3, counts)
     for word in ("the", "cat", "tha", "zzz", "thing", "x", "sangs"):
         s = f" {word} "
         want = sum(math.log(p(s[max(0, e - 3) : e])) for e in range(2, len(s) + 1))
-        assert model.word(word) == pytest.approx(want, abs=1e-9)
+        assert model.words(["a", word, "the"])[1] == pytest.approx(want, abs=1e-9)
     known = sorted({c for g in counts for c in g})
     assert sum(p(" t" + c) for c in known) == pytest.approx(1 - p(" t~") * 256, abs=1e-9)  # what is left is for unseen ones
 
 
+def test_large_model_is_joined(spark):
+    """Scores by the sharded join are those of the model that is sent, also of very long words and repeated rows."""
+    docs = with_clash(spark, [*ODD, (6, "y" * (kneser_ney.BLOCK + 9) + " the end"), *((100 + i, f"some plain words of text number {i} naïve Ω") for i in range(30))])
+    labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    model = kneser_ney.train(docs, labels, Scratch(spark, "large"))
+    found = [sorted((r.doc_id or 0, r.n_words, r.n_scored, r.nll) for r in kneser_ney.scores(docs, *model, most_sent=n).collect()) for n in (0, 10**6)]
+    assert len(found[0]) == len(found[1]) == docs.count()
+    for joined, sent in zip(*found, strict=True):
+        assert joined[:3] == sent[:3] and joined[3] == pytest.approx(sent[3], rel=1e-9)
+
+
+def test_model_grows_with_the_trusted_text(spark):
+    """Every n-gram of every trusted document with an even hash is in the model, from whole texts."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model, _ = kneser_ney.train(docs, labels, Scratch(spark, "grows"))
+    ids = {r.doc_id for r in kneser_ney.half(kneser_ney.trusted(labels), False).collect()}
+    want = {s[b:e] for r in docs.collect() if r.doc_id in ids for w in kneser_ney.split(r.text or "") for s in [f" {w} "] for e in range(2, len(s) + 1) for b in range(max(0, e - 5), e)}
+    assert {r.gram for r in model.filter("p is not null").collect()} == want
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF1}/{t}.parquet") for t in ("documents", "labels"))
     kept = {r.doc_id: r.kept for r in kneser_ney.judged(docs, labels).collect()}
