@@ -154,7 +154,13 @@ def hybrid_retrieve(spark, d):
     return _retrieved(spark, d)[1].select("query_id", "doc_id", Q6(F.col("final")).alias("final"), "rank")
 
 
-@query()
+@query(
+    f"WITH hits AS ({_HYBRID}), "
+    f"x AS (SELECT h.query_id, h.doc_id, h.rank AS prior, list_distinct(regexp_extract_all(lower(substr(a.text, 1, 80)), '{_TOKEN}')) AS asked, regexp_extract_all(lower(substr(d.text, 1, 512)), '{_TOKEN}') AS found "
+    "FROM hits h JOIN documents d ON d.doc_id = h.doc_id JOIN documents a ON a.doc_id = h.query_id), "
+    "y AS (SELECT *, CASE WHEN len(asked) = 0 THEN 0 ELSE CAST(len(list_intersect(asked, found)) AS DOUBLE) / len(asked) END AS share FROM x) "
+    "SELECT query_id, doc_id, round(share, 6) AS relevance, prior, CAST(row_number() OVER (PARTITION BY query_id ORDER BY share DESC, prior, doc_id) AS INTEGER) AS rank FROM y QUALIFY rank <= 5"
+)
 def rerank_overlap(spark, d):
     asked, found = _retrieved(spark, d)
     return retrieval.rerank(found, asked, 5).select("query_id", "doc_id", Q6(F.col("relevance")).alias("relevance"), "prior", "rank")
