@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tesserae:warc")
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*(?:>|\Z).*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: A tag that isn't closed ends before the next one: broken pages are read once, not again from each of their tags.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<))|<[!?][^>]*(?:>|\Z)")
 _BLOCK = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_BLANKS, _LINES = re.compile(r"[ \t\f\v\xa0]+"), re.compile(r"\s*\n\s*")
+_ATTR = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_BLANKS = re.compile(r"[ \t\f\v\xa0]+")
 
 COLUMNS = "page_id {id}, record_type string, record_id string, refers_to string, target_uri string, warc_date string, source_headers string, source_payload_digest string, block_digest string, content_type string, content_length bigint, block string"
 
@@ -67,7 +68,7 @@ def convert(page: str) -> tuple[str, dict[str, list[str]]]:
                     facts[fact].append(attrs[key])
     out.append(shown[at:])
     text = _BLANKS.sub(" ", html.unescape("".join(out)))
-    return _LINES.sub("\n", text).strip(), facts
+    return "\n".join(filter(None, map(str.strip, text.split("\n")))), facts
 
 
 def metadata(facts: dict[str, list[str]], uri: str, text: str) -> str:

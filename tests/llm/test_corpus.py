@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import time
 from collections import Counter
 
 import duckdb
@@ -31,6 +32,14 @@ def test_convert():
     assert warc.convert("<p>open <b")[0] == "open <b" and warc.convert("<!-- never closed")[0] == ""
 
 
+def test_broken_pages_are_read_once():
+    assert warc.convert("<div <p>text")[0] == "text" and warc.convert("a<!doc")[0] == "a"
+    n, began = 200_000, time.time()
+    for page in ("<a href=x " * n, "<!" * n, "<script " * n, f"<a {'x' * n}>", f"a{chr(13) * n}b", "<p title='" * n):
+        warc.convert(page)
+    assert time.time() - began < 30  # each alone would take minutes if it were read again from every tag
+
+
 def test_records_link_to_their_response(spark):
     pages = spark.createDataFrame([(1, "http://a.org/p/", PAGE, 5), (1, "http://a.org/p/", PAGE, 5), (2, None, None, 5), (None, "http://a.org/", "", 5)], "page_id bigint, url string, html string, block int")
     rows = warc.derive(warc.responses(pages, "2024-01-01T00:00:00Z")).collect()
