@@ -71,6 +71,7 @@ def _iban_check(country: str, rest: str) -> str:
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities of a text, in order, apart from each other."""
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
     if _HINT.search(text):
         for kind, pattern in PATTERNS:
             if kind == "EMAIL" and "@" not in text:
@@ -90,8 +91,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                     canon = plain
                 else:
                     canon = digits if kind in ("CARD", "PHONE", "SSN") else mention.lower() if kind == "EMAIL" else mention
-                if not any(a < m.end(group) and m.start(group) < b for a, b, _, _ in found):
-                    found.append((m.start(group), m.end(group), kind, canon))
+                a, b = m.span(group)
+                if 1 not in taken[a:b]:
+                    found.append((a, b, kind, canon))
+                    taken[a:b] = b"\1" * (b - a)
     for m in NAMES.finditer(text):
         group = "titled" if m["titled"] else "given"
         if m["titled"]:
@@ -102,7 +105,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         else:
             gender = "m" if m["given"] in MALE_NAMES else "f"
             parts = [m.span("given"), m.span("family")]
-        if any(a < m.end() and m.start(group) < b for a, b, _, _ in found):
+        if 1 in taken[m.start(group) : m.end()]:
             continue
         for k, (a, b) in enumerate(parts):
             first = k < len(parts) - 1

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -130,6 +131,12 @@ def test_kinds():
     assert pii.detect("Apache License, Version 2.0. See 10.5 and 1.2.3.4.5 in 2024-01-01.") == []
 
 
+def test_entities_of_a_very_long_text_take_linear_time():
+    line, n, began = "Mr Hans Bergmann wrote to a.b@c.org from 192.168.1.20. ", 20_000, time.time()
+    assert len(pii.detect(line * n)) == n * len(pii.detect(line))
+    assert time.time() - began < 30  # minutes if each entity were held against all before it
+
+
 def test_surrogates_keep_type_and_coreference():
     made, n = pii.replace(TEXT, b"k", {})
     assert n == 15
