@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import resemblance
 from .common import Scratch, bound_batches, components
 
 #: Shingles summed at a time, which bounds the memory for a very long text.
@@ -98,11 +99,16 @@ def _placed(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs without all but one document of each component: the one with the smallest doc_id, of its texts the one with the
-    least hash, and of its repeated rows one. Documents without doc_id come last. Names of columns that begin with __tess are
-    the operator's own.
+    """docs without all but one document of each group of near copies: the one with the smallest doc_id, of its texts the one
+    with the least hash, and of its repeated rows one. Texts are linked at a resemblance of their sets of shingles of 0.8,
+    verified on the sets (fingerprints at so few bits only find texts that are all but equal). Documents without doc_id come
+    last. Names of columns that begin with __tess are the operator's own.
     """
-    heads = _placed(docs, width)[1].groupBy("root").agg(F.min("least").alias("head")).select(F.col("head.doc_id").alias("__tess_doc"), F.col("head.h").alias("__tess_head"))
+    scratch = Scratch(docs.sparkSession, "resemblance")
+    made = scratch.save(resemblance.nodes(docs, width, text_hash(F.col("text"))), "nodes")
+    roots = resemblance.roots(made, docs, width, text_hash(F.col("text")), scratch)
+    heads = made.join(roots, "s", "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.min(F.struct("least.none", "least.doc_id", "least.h")).alias("head"))
+    heads = heads.select(F.col("head.doc_id").alias("__tess_doc"), F.col("head.h").alias("__tess_head"))
     rows = docs.withColumn("__tess_h", text_hash(F.col("text")))
     hit = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__tess_doc")) & (F.col("__tess_h") == F.col("__tess_head")), "left_semi")
     return hit.dropDuplicates(["doc_id", "__tess_h"]).drop("__tess_h")

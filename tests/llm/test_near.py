@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesserae.llm import simhash, sketch, suffix
+from tesserae.llm import resemblance, simhash, sketch, suffix
 from tesserae.llm.common import Scratch, components
 
 SF = "/root/testdata/sf0.001"
@@ -85,6 +85,25 @@ def test_keep_one(spark):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter({odd[0], odd[2], odd[4], odd[5], odd[7]})
 
 
+def test_keep_one_by_resemblance(spark):
+    """All near copies at a resemblance of 0.8, most of them more than two bits apart, against all pairs of sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = {r.doc_id: lowered(r.text).split() for r in docs.collect()}
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    ids = sorted(sets)
+    near = [(a, b) for a in ids for b in ids if a < b and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert (2, 56) in near and (simhash.fingerprint(" ".join(words[2]), 5) ^ simhash.fingerprint(" ".join(words[56]), 5)).bit_count() > 2
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(plain_components(ids, near).values()))
+
+
+def test_keep_one_of_a_large_group(spark, monkeypatch):
+    """Many copies of one text that share keys are linked by way of few, and a text below the bound stays."""
+    monkeypatch.setattr(resemblance, "FEW", 2)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(100)] + [(100, " ".join(base[:140] + [f"y{i}" for i in range(60)]))]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == [0, 100]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (300, 100), (7, 7)] + [(500, k) for k in range(501, 540)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u bigint, v bigint"), Scratch(spark, "test")).collect()}
