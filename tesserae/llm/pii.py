@@ -22,7 +22,7 @@ from .common import Scratch, bound_batches
 
 #: Entities that drew again go to the workers as a table up to so many, and by a join beyond it.
 MOST_SENT = 100_000
-#: Draws of one entity; beyond it the corpus has more entities of a kind than its format has values.
+#: Draws of one entity. Later ones leave its format, so only a corpus with most of all cards, numbers or addresses there are needs more.
 MOST_DRAWS = 64
 
 # Honorifics by gender, and given names that tell an untitled person's name.
@@ -80,6 +80,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 group = 1 if m[1] is not None else 2
                 mention = m[group]
                 digits = re.sub(r"\D", "", mention)
+                if kind == "SECRET" and not any(map(str.isalnum, mention)):
+                    continue  # a line to fill in, or a ruler
                 if kind == "CARD" and len(digits) != 16 and not luhn(digits):
                     continue
                 if kind == "PHONE" and not 7 <= len(digits) <= 15:
@@ -148,16 +150,24 @@ def _same_classes(text: str, draws: _Draws) -> str:
     return "".join(draws.pick("0123456789") if c in "0123456789" else _letter(c, draws) if c.isalpha() else c for c in text)
 
 
+def _more(n: int, draws: _Draws) -> str:
+    return "".join(draws.pick(_CONSONANTS + "0123456789") for _ in range(n))
+
+
 def draw(kind: str, canon: str, attempt: int, key: bytes) -> str:
-    """The canonical form of an entity's surrogate."""
+    """The canonical form of an entity's surrogate. From the fourth attempt on it leaves a format that may be full."""
     d = _Draws(key, kind, canon, attempt)
+    wider = attempt // 4
     if kind == "EMAIL":
         local, _, domain = canon.rpartition("@")
         name, _, top = domain.rpartition(".")
-        return f"{_same_classes(local, d)}@{_same_classes(name, d)}.{top}"
+        return f"{_same_classes(local, d)}{_more(wider, d)}@{_same_classes(name, d)}.{top}"
     if kind == "IP":
         octets = canon.split(".")
         keep = 2 if octets[:2] == ["192", "168"] else 1 if octets[0] in ("10", "127") else 0
+        if wider:  # any width; then any private address, and at last any
+            given = octets[:keep] if wider == 1 or not keep else ["10"] if wider < 4 else []
+            return ".".join([*given, *(str(1 + d.below(254)) for _ in octets[len(given) :])])
         low = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
         return ".".join(o if k < keep else str(low[len(o)][0] + d.below(low[len(o)][1] - low[len(o)][0] + 1)) for k, o in enumerate(octets))
     if kind == "CARD":
@@ -167,18 +177,20 @@ def draw(kind: str, canon: str, attempt: int, key: bytes) -> str:
     if kind in ("PHONE", "SSN"):
         keep = max(0, len(canon) - 10) if kind == "PHONE" else 0  # the country's digits
         drawn = "".join(d.pick("0123456789") for _ in canon[keep:])
+        if wider:  # any first digit, and then longer numbers
+            return canon[:keep] + drawn + "".join(d.pick("0123456789") for _ in range(min(wider - 1, 15 - len(canon)) if kind == "PHONE" else 0))
         return canon[:keep] + (str(2 + d.below(8)) + drawn[1:] if canon[keep : keep + 1] not in ("", "0") else "0" + drawn[1:])
     if kind == "IBAN":
-        rest = "".join(d.pick("0123456789") if c.isdigit() else d.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in canon[4:])
+        rest = "".join(d.pick("0123456789") if c.isdigit() and not wider else d.pick("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") if wider else d.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in canon[4:])
         return canon[:2] + _iban_check(canon[:2], rest) + rest
     if kind == "SECRET":
         if re.fullmatch(r"[0-9a-f]+", canon):
-            return "".join(d.pick("0123456789abcdef") for _ in canon)
+            return "".join(d.pick("0123456789abcdef") for _ in range(len(canon) + wider))
         head = re.match(r"AKIA|gh[pousr]_|sk-|xox[abprs]-", canon)
         k = head.end() if head else 0
-        return canon[:k] + _same_classes(canon[k:], d)
+        return canon[:k] + _same_classes(canon[k:], d) + _more(wider, d)
     starts, middles, ends = SYLLABLES["cyrillic" if re.search("[а-яё]", canon) else "latin"]
-    middle = "".join(d.pick(middles) for _ in range(1 + d.below(2) + attempt // 4))
+    middle = "".join(d.pick(middles) for _ in range(1 + d.below(2) + wider))
     return (d.pick(starts) + middle + d.pick(ends[kind[-1].lower()])).lower()
 
 
@@ -186,7 +198,7 @@ def render(mention: str, kind: str, surrogate: str) -> str:
     """A surrogate in the format of a mention."""
     if kind in ("CARD", "PHONE", "SSN", "IBAN"):
         rest = iter(surrogate)
-        return "".join(next(rest) if c.isalnum() else c for c in mention)
+        return "".join(next(rest) if c.isalnum() else c for c in mention) + "".join(rest)
     if kind == "EMAIL":
         return "".join(s.upper() if len(mention) == len(surrogate) and mention[k].isupper() and len(s.upper()) == 1 else s for k, s in enumerate(surrogate))
     if kind.startswith("NAME"):
@@ -227,7 +239,7 @@ def redrawn(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
         kept = marked.filter("hit is null").select("kind", "canon", "attempt", "surrogate")
         now = scratch.save(kept.unionByName(drawn(marked.filter("hit = 1").withColumn("attempt", F.col("attempt") + 1))), f"draws{k}")
         scratch.drop(f"draws{k - 1}")
-    raise ValueError("more entities of a kind than its format has values")
+    raise ValueError("more entities of a kind than it has values in any format")
 
 
 def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:

@@ -174,6 +174,25 @@ def test_surrogates_stay_distinct(spark, most_sent):
     assert pii.pseudonymise(docs.limit(0), b"key").collect() == []
 
 
+def test_full_formats_are_left(spark):
+    """Formats of which the texts have every value, and values that no draw can change."""
+    assert pii.detect("Password: ________ password: ............ token = --------") == []
+    own = [("IP", f"192.168.{a}.{b}") for a in range(1, 10) for b in range(1, 10)] + [("EMAIL", f"{a}@{b}.de") for a in "aeiou" for b in "aeiou"] + [("SECRET", f"-------{a}") for a in "aeiou"]
+    rows = [(i, f"Password: ________ and token = {x}" if kind == "SECRET" else f"at {x} now") for i, (kind, x) in enumerate(own)]
+    made = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), b"key").collect()}
+    assert all(made[i].startswith(t.rsplit(x, 1)[0]) for (i, t), (_, x) in zip(rows, own, strict=True))
+    drawn = [made[i][len(t.rsplit(x, 1)[0]) :].split(" ")[0] for (i, t), (_, x) in zip(rows, own, strict=True)]
+    assert len(set(drawn)) == len(own) and not set(drawn) & {x for _, x in own}
+    assert all(x.startswith(("192.168.", "10.")) for x, (kind, _) in zip(drawn, own, strict=True) if kind == "IP")
+
+
+def test_later_draws_keep_kind():
+    for kind, canon, mention in (("PHONE", "1234567", "+1 23 45 67"), ("PHONE", "3105551234", "(310) 555-1234"), ("SSN", "012345678", "012-34-5678"), ("IBAN", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"), ("IP", "10.1.1.1", "10.1.1.1")):
+        drawn = [pii.draw(kind, canon, k, b"k") for k in range(40)]
+        assert len(set(drawn)) == 40 and len({pii.render(mention, kind, x) for x in drawn}) == 40
+        assert kind != "IBAN" or all(pii._iban_check(x[:2], x[4:]) == x[2:4] for x in drawn)
+
+
 def test_no_personal_data_is_left(spark):
     docs = spark.read.parquet(f"{SF1}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
