@@ -22,7 +22,7 @@ REFERENCE = r"§\s*(\d+(?:\.\d+)*)"
 GERMAN = "was wie wann wo wer welch warum bitte ist sind hat haben werden kann darf muss soll gilt steht ab bis nach vor unter gemäß vertrag auftragnehmer auftraggeber leistung vergütung kündigung frist zahlung".split()
 NOTES = r"(?sd)\[source:.*?\]|bboxes=\[.*?\]|image_path=.*?(?=\n|$)"
 HEADS = r"(?md)^FOUND SECTIONS.*$|^GEFUNDENE ABSCHNITTE.*$|^--- Abschnitt \d+ ---$"
-SOURCE = r"(?s)\[source: page (\d+), bboxes=(\[.*?\]), image_path='((?:[^'\\]|\\.)*)'"
+SOURCE = r"""(?s)\[source: page (\d+), bboxes=(\[.*?\]), image_path=('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
 
 MARK = "\u0001"
 WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -197,7 +197,7 @@ def parse_sources(c: Column) -> Column:
         nested = F.from_json(raw, "array<array<double>>")
         flat = F.from_json(raw, "array<double>")
         page = F.get(pages, i).cast("int")
-        image = F.get(images, i)
+        image = F.substring(F.get(images, i), F.lit(2), F.length(F.get(images, i)) - 2)  # without its quotes
         return F.struct(
             page.alias("page"),
             F.when(raw.rlike(r"^\[\s*\["), nested).when(F.size(flat) > 0, F.array(flat)).otherwise(F.array().cast("array<array<double>>")).alias("bboxes"),

@@ -44,10 +44,10 @@ DOMAINS = {
 FALLBACK_TYPE, FALLBACK_DOMAIN = "fallback", "general"
 
 
-def read_taxonomy(spark: SparkSession, folder: str) -> tuple[dict[str, list[str]], dict[str, dict[str, list[str]]]]:
+def read_taxonomy(spark: SparkSession, folder: str, names: str = "*.json") -> tuple[dict[str, list[str]], dict[str, dict[str, list[str]]]]:
     """Hints by type, and keywords by type and domain, of a folder of JSON files (doc_type, detection_hints, domains); types by name."""
     domain = "struct<keywords_de:array<string>,keywords_en:array<string>>"
-    raw = spark.read.format("binaryFile").load(f"{folder}/*.json").select(F.from_json(F.col("content").cast("string"), f"struct<doc_type:string,detection_hints:array<string>,domains:map<string,{domain}>>").alias("j"))
+    raw = spark.read.format("binaryFile").load(f"{folder}/{names}").select(F.from_json(F.col("content").cast("string"), f"struct<doc_type:string,detection_hints:array<string>,domains:map<string,{domain}>>").alias("j"))
     rows = sorted(raw.select("j.*").collect(), key=lambda r: r["doc_type"])  # a file each
     hints = {r["doc_type"]: list(r["detection_hints"] or ()) for r in rows if r["doc_type"] != FALLBACK_TYPE}
     return hints, {r["doc_type"]: {d: [*(x["keywords_de"] or ()), *(x["keywords_en"] or ())] for d, x in (r["domains"] or {}).items()} for r in rows}
@@ -69,19 +69,19 @@ def best_of(scores: Column, fallback: str, least: int) -> Column:
     return F.when(top["score"] >= least, F.struct(top["name"].alias("name"), top["score"].alias("score"))).otherwise(F.struct(F.lit(fallback).alias("name"), F.coalesce(top["score"], F.lit(0)).alias("score")))
 
 
-def classify(chunks: DataFrame, hints: dict[str, list[str]] | None = None, reply: Column | None = None) -> DataFrame:
+def classify(chunks: DataFrame, hints: dict[str, list[str]] | None = None, reply: Column | None = None, least: int = LEAST_HITS) -> DataFrame:
     """(doc_id, doc_type, score): the type whose hints a document's first chunks have most of.
 
-    Below LEAST_HITS the type that a model's reply names, else the fallback.
+    Below least hits the type that a model's reply names, else the fallback.
     """
     hints = HINTS if hints is None else hints
     first = chunks.filter(F.col("chunk_id") < SAMPLE_CHUNKS)
     sample = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("_c")).select("doc_id", F.array_join(F.col("_c.text"), "\n").alias("text"))
-    best = keyword_scores(sample, hints).withColumn("_b", best_of(F.col("scores"), FALLBACK_TYPE, LEAST_HITS))
+    best = keyword_scores(sample, hints).withColumn("_b", best_of(F.col("scores"), FALLBACK_TYPE, least))
     kind = F.col("_b.name")
     if reply is not None:
         named = F.get(F.filter(F.array(*map(F.lit, hints)), lambda t: F.contains(F.lower(reply), t)), F.lit(0))
-        kind = F.when(F.col("_b.score") >= LEAST_HITS, kind).otherwise(F.coalesce(named, F.lit(FALLBACK_TYPE)))
+        kind = F.when(F.col("_b.score") >= least, kind).otherwise(F.coalesce(named, F.lit(FALLBACK_TYPE)))
     return best.select("doc_id", kind.alias("doc_type"), F.col("_b.score").alias("score"))
 
 
@@ -92,7 +92,10 @@ def route(queries: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
 
 
 def trim(snippets: Column, limit: int = CONTEXT_CHARS) -> Column:
-    """The texts of an array that fit into limit characters, longest first, in their own order."""
+    """The texts of an array that fit into limit characters, longest first, in their own order.
+
+    The fold copies only the list of those that fit, which the limit bounds; texts that don't fit cost a comparison.
+    """
     ranked = F.array_sort(F.transform(snippets, lambda s, i: F.struct((-F.length(s)).alias("size"), i.alias("i"), s.alias("s"))))
     start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("kept"))
 
@@ -150,10 +153,19 @@ def cited(messages: DataFrame, most: int = MAX_SOURCES) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).select("conv_id", "pos", "s.page", "s.bboxes", "s.image")
 
 
-def is_thinking(model: str) -> bool:
+# Names of chat models that think aloud, and endings of those that don't.
+THINKING, PLAIN = ("qwen3", "qwen2.5", "deepseek-r", "phi4-reasoning"), ("-instruct", ":instruct")
+
+
+def thinks(model: Column) -> Column:
     """Whether a chat model thinks aloud unless told not to."""
-    low = model.lower()
-    return not low.endswith(("-instruct", ":instruct")) and any(x in low for x in ("qwen3", "qwen2.5", "deepseek-r", "phi4-reasoning"))
+    low = F.lower(model)
+    return F.exists(F.array(*map(F.lit, THINKING)), lambda x: F.contains(low, x)) & ~F.exists(F.array(*map(F.lit, PLAIN)), lambda x: F.endswith(low, x))
+
+
+def is_thinking(model: str) -> bool:
+    """thinks() of one name."""
+    return not model.lower().endswith(PLAIN) and any(x in model.lower() for x in THINKING)
 
 
 def tool_model(model: str, provider: str, chosen: str | None = None, without_tools: frozenset[str] = frozenset(), proxy: str | None = None) -> str:

@@ -2,12 +2,15 @@
 
 Elements (doc_id, page_number, elem_no, type, text, bbox, confidence, image_path) become chunks (doc_id, chunk_id, text,
 page_number, bboxes, chunk_type, confidence, image_path). A heading or a table ends the section before it: sections are
-gaps-and-islands over a page's parts. Within a section the parts are packed by a fold over a list that is as long as the
-section, so a page's section is the only thing that has to fit into memory.
+gaps-and-islands over a page's parts. Within a section the parts are packed by a scan in order, which remembers one number;
+what is gathered in a row is one chunk.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +33,29 @@ def parts(elements: DataFrame, inline: str = INLINE) -> DataFrame:
     return made.select("doc_id", "page_number", "image_path", "elem_no", "part_no", kind.alias("kind"), F.col("part.text").alias("text"), "bbox", "confidence")
 
 
-def packed(members: Column, limit: int) -> Column:
-    """The number of the group of each member, an array of structs with text: a group is closed before a text that would take it past limit, unless it is empty."""
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
+def packed(rows: DataFrame, by: list[str], order: list[str], limit: int, size: Column) -> DataFrame:
+    """Rows with group, the number of the group that each falls into among the rows of its section (by), in order.
+
+    A group is closed before a text that would take it past limit, unless it is empty. Whether it is depends on all rows
+    before it, so sections are scanned in order: rows are dealt out by section and sorted, and a scan needs no more than
+    the size of the group so far. by[:2] must deal sections out; no section is gathered anywhere.
+    """
 
-    def step(s: Column, m: Column) -> Column:
-        size = F.length(m["text"])
-        over = (s["size"] > 0) & (s["size"] + size > limit)
-        group = s["group"] + over.cast("int")
-        return F.struct(F.when(over, size).otherwise(s["size"] + size).alias("size"), group.alias("group"), F.concat(s["out"], F.array(group)).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, group = None, 0, 0
+        for batch in batches:
+            found = []
+            for section, n in zip(zip(*(batch.column(c).to_pylist() for c in by), strict=True), batch.column("_size").to_pylist(), strict=True):
+                if section != last:
+                    last, total, group = section, 0, 0
+                if total and total + n > limit:
+                    total, group = 0, group + 1
+                total += n
+                found.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int32())], [*batch.schema.names[:-1], "group"])
 
-    return F.aggregate(members, start, step, lambda s: s["out"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", group int"
+    return rows.withColumn("_size", size).repartition(*by[:2]).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 def base_chunks(elements: DataFrame, limit: int = MAX_CHARS, inline: str = INLINE) -> DataFrame:
@@ -52,31 +67,23 @@ def base_chunks(elements: DataFrame, limit: int = MAX_CHARS, inline: str = INLIN
     tables = rows.filter((F.col("kind") == "table") & geometry.is_valid(F.col("bbox"))).select(
         "doc_id", "page_number", "image_path", "seq", "text", F.array("bbox").alias("bboxes"), F.lit("table").alias("chunk_type"), "confidence"
     )
-    member = F.struct("seq", "text", "bbox", "confidence")
-    islands = rows.groupBy("doc_id", "page_number", "island").agg(
-        F.min("seq").alias("first"),
-        F.max("image_path").alias("image_path"),
-        F.max_by(member, F.when(F.col("kind") == "heading", 1)).alias("heading"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "body", member))).alias("body"),
-    )
-    alone = islands.filter("heading is not null and size(body) = 0").select(
-        "doc_id", "page_number", "image_path", F.col("first").alias("seq"), F.col("heading.text").alias("text"),
-        geometry.valid_boxes(F.array("heading.bbox")).alias("bboxes"), F.lit("text").alias("chunk_type"), F.lit(HEADING_CONFIDENCE).alias("confidence"),
-    )
-    grouped = islands.filter("size(body) > 0").withColumn("groups", packed(F.col("body"), limit))
-    each = F.transform(F.sequence(F.lit(0), F.array_max("groups")), lambda g: F.struct(g.alias("g"), F.filter("body", lambda m, i: F.get(F.col("groups"), i) == g).alias("members")))
-    opened = grouped.select("doc_id", "page_number", "image_path", "heading", F.explode(each).alias("e")).select("doc_id", "page_number", "image_path", "heading", "e.g", "e.members")
-    joined = F.array_join(F.col("members.text"), " ")
-    head = F.when((F.col("g") == 0) & F.col("heading").isNotNull(), F.array("heading")).otherwise(F.slice("members", 1, 0))
-    opened = opened.withColumn("all", F.concat(head, "members"))
-    boxes = geometry.valid_boxes(F.col("all.bbox"))
-    bodies = opened.select(
-        "doc_id", "page_number", "image_path", F.get("members", F.lit(0))["seq"].alias("seq"),
-        F.when(F.col("heading").isNotNull(), F.concat(F.col("heading.text"), F.lit("\n"), joined)).otherwise(joined).alias("text"),
-        F.when(F.size(boxes) > 0, boxes).otherwise(F.slice(F.col("all.bbox"), 1, 1)).alias("bboxes"),
-        F.lit("text").alias("chunk_type"), F.coalesce(F.array_min(F.col("all.confidence")), F.lit(DEFAULT_CONFIDENCE)).alias("confidence"),
+    headings = rows.filter("kind = 'heading'").select("doc_id", "page_number", "island", F.struct("seq", "text", "bbox", "confidence", "image_path").alias("heading"))
+    section = ["doc_id", "page_number", "island"]
+    bodies = packed(rows.filter("kind = 'body'").drop("elem_no", "part_no", "kind"), section, ["seq"], limit, F.length("text"))
+    member = F.struct("seq", "text", "bbox", "confidence", "image_path")
+    grouped = bodies.groupBy(*section, "group").agg(F.array_sort(F.collect_list(member)).alias("members"))  # limit characters, or one text
+    opened = grouped.join(headings, section, "full")  # a section has one heading at most
+    has = F.col("members").isNotNull()
+    head = F.when(F.col("heading").isNotNull() & (~has | (F.col("group") == 0)), F.array("heading")).otherwise(F.slice("members", 1, 0))
+    opened = opened.withColumn("all", F.when(has, F.concat(head, "members")).otherwise(head))
+    joined, boxes = F.array_join(F.col("members.text"), " "), geometry.valid_boxes(F.col("all.bbox"))
+    texts = opened.select(
+        "doc_id", "page_number", F.array_max("all.image_path").alias("image_path"), F.get(F.coalesce("members", "all"), F.lit(0))["seq"].alias("seq"),
+        F.when(~has, F.col("heading.text")).when(F.col("heading").isNotNull(), F.concat(F.col("heading.text"), F.lit("\n"), joined)).otherwise(joined).alias("text"),
+        F.when((F.size(boxes) > 0) | ~has, boxes).otherwise(F.slice(F.col("all.bbox"), 1, 1)).alias("bboxes"),
+        F.lit("text").alias("chunk_type"), F.when(~has, F.lit(HEADING_CONFIDENCE)).otherwise(F.coalesce(F.array_min("all.confidence"), F.lit(DEFAULT_CONFIDENCE))).alias("confidence"),
     )
-    every = tables.unionByName(alone).unionByName(bodies)
+    every = tables.unionByName(texts)
     return every.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "seq")) - 1).drop("seq")
 
 

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 
 
-def upserted(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows with all of the new rows' documents replaced; vectors stay with their (doc_id, chunk_id)."""
-    return existing.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
+def upserted(existing: DataFrame, new: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The rows with all of the new rows' documents replaced; vectors stay with their (doc_id, chunk_id).
+
+    ids (doc_id): the documents that were indexed anew, so that one without rows any more loses its old ones.
+    """
+    return existing.join((new if ids is None else ids).select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
 
 
 def with_units(rows: DataFrame) -> DataFrame:
@@ -31,24 +36,38 @@ def write(rows: DataFrame, path: str, buckets: int = 64) -> None:
     rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, buckets: int = 64) -> None:
-    """Replaces the documents of new in the table at path, within the buckets that they fall into."""
-    places = [r["b"] for r in new.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]  # buckets at most
+def upsert(spark: SparkSession, path: str, new: DataFrame, buckets: int = 64, ids: DataFrame | None = None) -> None:
+    """Replaces the documents ids, else those of new, in the table at path, within the buckets that they fall into."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    ids = (new if ids is None else ids).select("doc_id").distinct()
+    places = [r["b"] for r in ids.select(place.alias("b")).distinct().collect()]  # buckets at most
     old = load(spark, path)
     if old is None:
         return write(new, path, buckets)
     kept = old.filter(F.col("bucket").isin(places)).drop("bucket")
-    staged = f"{path}.staged"  # a table can't be overwritten while it is read
-    upserted(kept, new).write.mode("overwrite").parquet(staged)
-    return write(spark.read.parquet(staged), path, buckets)
+    staged = f"{path}.staged-{uuid.uuid4().hex}"  # a table can't be overwritten while it is read
+    try:
+        upserted(kept, new, ids).write.parquet(staged)
+        rows = spark.read.parquet(staged)
+        write(rows, path, buckets)
+        left = {r["b"] for r in rows.select(place.alias("b")).distinct().collect()}
+        for b in set(places) - left:  # nothing overwrites a bucket that has no rows any more
+            clear(spark, f"{path}/bucket={b}")
+    finally:
+        clear(spark, staged)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, None if there is none."""
+    """The table, None if there is none or it has no rows any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return None
-    return spark.read.parquet(path)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # no files
+            return None
+        raise
 
 
 def clear(spark: SparkSession, path: str) -> None:

@@ -66,7 +66,8 @@ scored AS (
 
 @query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM documents) GROUP BY 1")
 def tokenize_terms(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    rows = fx.table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("ts"))
+    return rows.select("doc_id", F.explode("ts").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("k")).groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
 @query(f"WITH c AS (SELECT 0 AS query_id, doc_id AS id, text FROM documents), q AS (SELECT 0 AS query_id, '{QUERY}' AS query), {_bm25('c', 'q')} SELECT id AS doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM scored) WHERE rank <= 20")
@@ -95,9 +96,9 @@ def bm25_page_decay(spark, d):
 
 def _hits(where: str = "", post: str = "", k: int = 10) -> str:
     n = k * 10 if post else k
-    ranked = f"SELECT query_id, vec_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= {n}"
+    ranked = f"SELECT query_id, vec_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s QUALIFY rank <= {n}"
     return f"""WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings {where}),
-q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS w FROM embeddings WHERE vec_id < 8),
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS w FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, label, list_inner_product(v, w) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(w, w))) AS score FROM u, q),
 r AS ({ranked})
 SELECT query_id, vec_id, score, label, CAST({"row_number() OVER (PARTITION BY query_id ORDER BY rank)" if post else "rank"} AS INTEGER) AS rank FROM r {post} {f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {k}" if post else ""}"""
@@ -112,10 +113,9 @@ def vector_topk_batch(spark, d):
     return _vector(spark, d)
 
 
-@query(f"SELECT * EXCLUDE (query_id) FROM ({_hits()}) WHERE query_id = 3")
+@query(_hits(k=1))
 def vector_topk(spark, d):
-    found = retrieval.vector_hits(fx.table(spark, d, "embeddings"), fx.probes(spark, d).filter("query_id = 3"), 10)
-    return found.withColumn("score", Q6(F.col("score"))).drop("query_id")
+    return retrieval.vector_hits(fx.table(spark, d, "embeddings"), fx.probes(spark, d), 1).withColumn("score", Q6(F.col("score")))
 
 
 @query(_hits(where="WHERE label = 2"))
@@ -129,8 +129,8 @@ def vector_topk_filtered_post(spark, d):
 
 
 _HYBRID = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-w AS (SELECT vec_id AS query_id, v AS w FROM e WHERE vec_id < 8),
-asked AS (SELECT vec_id AS query_id, substr(text, 1, 80) AS query FROM e JOIN documents ON vec_id = doc_id WHERE vec_id < 8),
+w AS (SELECT vec_id AS query_id, v AS w FROM e WHERE vec_id % 50 = 0 AND vec_id IN (SELECT doc_id FROM documents)),
+asked AS (SELECT vec_id AS query_id, text AS query FROM e JOIN documents ON vec_id = doc_id WHERE vec_id % 50 = 0),
 cand AS (SELECT w.query_id, vec_id, row_number() OVER (PARTITION BY w.query_id ORDER BY list_inner_product(v, w) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(w, w))) DESC, vec_id) AS vr FROM e, w QUALIFY vr <= 60),
 c AS (SELECT query_id, doc_id AS id, text, vr, n_chars FROM cand JOIN documents ON doc_id = vec_id),
 {_bm25("c", "asked")},
@@ -143,7 +143,7 @@ SELECT query_id, id AS doc_id, round(final, 6) AS final, CAST(row_number() OVER
 def _retrieved(spark, d, k=15):
     docs = fx.table(spark, d, "documents")
     first = fx.probes(spark, d)
-    asked = first.join(docs.select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(80)).alias("words")), "query_id").select("query_id", F.col("words").alias("query"), F.col("query").alias("vector"))
+    asked = first.join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("words")), "query_id").select("query_id", F.col("words").alias("query"), F.col("query").alias("vector"))
     chunks = docs.withColumn("page_number", (1 + F.floor(F.col("n_chars") / 3000)).cast("int"))
     vectors = fx.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
     return asked, retrieval.hybrid(chunks, vectors, asked, k)
@@ -156,7 +156,7 @@ def hybrid_retrieve(spark, d):
 
 @query(
     f"WITH hits AS ({_HYBRID}), "
-    f"x AS (SELECT h.query_id, h.doc_id, h.rank AS prior, list_distinct(regexp_extract_all(lower(substr(a.text, 1, 80)), '{_TOKEN}')) AS asked, regexp_extract_all(lower(substr(d.text, 1, 512)), '{_TOKEN}') AS found "
+    f"x AS (SELECT h.query_id, h.doc_id, h.rank AS prior, list_distinct(regexp_extract_all(lower(a.text), '{_TOKEN}')) AS asked, regexp_extract_all(lower(substr(d.text, 1, 512)), '{_TOKEN}') AS found "
     "FROM hits h JOIN documents d ON d.doc_id = h.doc_id JOIN documents a ON a.doc_id = h.query_id), "
     "y AS (SELECT *, CASE WHEN len(asked) = 0 THEN 0 ELSE CAST(len(list_intersect(asked, found)) AS DOUBLE) / len(asked) END AS share FROM x) "
     "SELECT query_id, doc_id, round(share, 6) AS relevance, prior, CAST(row_number() OVER (PARTITION BY query_id ORDER BY share DESC, prior, doc_id) AS INTEGER) AS rank FROM y QUALIFY rank <= 5"
@@ -202,20 +202,22 @@ def min_len_dedupe(spark, d):
 
 @query(
     "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(" + "|".join(text.GERMAN) + ")($|[^\\p{L}\\p{N}_])') THEN 'de' ELSE 'en' END AS lang, "
-    f"{_STRIP('text')} AS plain FROM conversations"
+    + _STRIP("regexp_replace('<think>a' || chr(10) || 'b</think> ' || text || ' <think></think>', '<think>.*?</think>', '', 'gs')") + " AS plain FROM conversations"
 )
 def detect_language(spark, d):
     wrapped = F.concat(F.lit("<think>a\nb</think> "), "text", F.lit(" <think></think>"))
     return fx.table(spark, d, "conversations").select("conv_id", "turn", text.detect_language(F.col("text")).alias("lang"), text.strip_think(wrapped).alias("plain"))
 
 
-_WRAPPED = "'FOUND SECTIONS (2 total — read all):' || chr(10) || chr(10) || '--- Abschnitt 1 ---' || chr(10) || text || chr(10) || '[source: page 3, bboxes=[[1.0, 2.0, 3.0, 4.0]], image_path=''a.png'']' || chr(10) || chr(10) || '--- Abschnitt 2 ---' || chr(10) || ' x ' || text"
+_WRAPPED = "'FOUND SECTIONS (2 total — read all):' || chr(10) || chr(10) || '--- Abschnitt 1 ---' || chr(10) || text || chr(10) || '[source: page ' || (turn + 1) || ', bboxes=[[' || turn || '.0, 2.0, 3.0, 4.0]], image_path=''p' || turn || '.png'']' || chr(10) || chr(10) || '--- Abschnitt 2 ---' || chr(10) || ' x ' || text"
 
 
 def _wrapped() -> Column:
+    turn = F.col("turn").cast("string")
     return F.concat(
-        F.lit("FOUND SECTIONS (2 total — read all):\n\n--- Abschnitt 1 ---\n"), "text", F.lit("\n[source: page 3, bboxes=[[1.0, 2.0, 3.0, 4.0]], image_path='a.png']\n\n--- Abschnitt 2 ---\n x "), "text"
-    )
+        F.lit("FOUND SECTIONS (2 total — read all):\n\n--- Abschnitt 1 ---\n"), "text", F.lit("\n[source: page "), (F.col("turn") + 1).cast("string"), F.lit(", bboxes=[["), turn,
+        F.lit(".0, 2.0, 3.0, 4.0]], image_path='p"), turn, F.lit(".png']\n\n--- Abschnitt 2 ---\n x "), "text",
+    )
 
 
 @query(
@@ -232,7 +234,10 @@ def strip_metadata(spark, d):
     return fx.table(spark, d, "conversations").select("conv_id", "turn", text.strip_metadata(_wrapped()).alias("plain"))
 
 
-@query("SELECT conv_id, turn, 3 AS page, [[1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE]] AS bboxes, 'a.png' AS image FROM conversations")
+@query(
+    f"WITH w AS (SELECT conv_id, turn, {_WRAPPED} AS t FROM conversations), m AS (SELECT conv_id, turn, regexp_extract(t, '\\[source: page (\\d+), bboxes=(\\[.*?\\]), image_path=''([^'']*)''', ['page', 'boxes', 'image'], 's') AS m FROM w) "
+    "SELECT conv_id, turn, CAST(m.page AS INTEGER) AS page, CAST(CAST(m.boxes AS JSON) AS DOUBLE[][]) AS bboxes, m.image AS image FROM m WHERE m.page <> ''"
+)
 def extract_sources(spark, d):
     rows = fx.table(spark, d, "conversations").select("conv_id", "turn", F.explode(text.parse_sources(_wrapped())).alias("s"))
     return rows.select("conv_id", "turn", "s.*")
@@ -263,12 +268,13 @@ def e5_prefix(spark, d):
 
 
 @query(
-    "WITH t AS (SELECT item_id, '| A | ' || replace(substr(text, 1, 40), chr(10), ' ') || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| x, \"y\" | 2 |' AS m, replace(substr(text, 1, 40), chr(10), ' ') AS b FROM benchmark) "
-    "SELECT item_id, 'A,' || CASE WHEN regexp_matches(trim(b), '[\",]') THEN '\"' || replace(trim(b), '\"', '\"\"') || '\"' ELSE trim(b) END || chr(13) || chr(10) || '\"x, \"\"y\"\"\",2' || chr(13) || chr(10) AS csv FROM t"
+    "WITH t AS (SELECT item_id, trim(replace(replace(text, chr(10), ' '), '|', '/')) AS b FROM benchmark), "
+    "c AS (SELECT item_id, CASE WHEN regexp_matches(b, '[\",]') THEN '\"' || replace(b, '\"', '\"\"') || '\"' ELSE b END AS b FROM t) "
+    "SELECT item_id, 'A,' || b || chr(13) || chr(10) || '\"x, \"\"y\"\"\",' || item_id || chr(13) || chr(10) AS csv FROM c"
 )
 def table_to_csv(spark, d):
-    cell = F.replace(F.left("text", F.lit(40)), F.lit("\n"), F.lit(" "))
-    return fx.table(spark, d, "benchmark").select("item_id", text.table_to_csv(F.concat(F.lit("| A | "), cell, F.lit(' |\n| --- | --- |\n| x, "y" | 2 |'))).alias("csv"))
+    cell = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("/"))
+    return fx.table(spark, d, "benchmark").select("item_id", text.table_to_csv(F.concat(F.lit("| A | "), cell, F.lit(' |\n| --- | --- |\n| x, "y" | '), F.col("item_id").cast("string"), F.lit(" |"))).alias("csv"))
 
 
 # Boxes
@@ -360,11 +366,6 @@ def even_line_split(spark, d):
     return layout.pages_from_lines(fx.table(spark, d, "documents"), F.lit(3))
 
 
-@query()
-def html_elements(spark, d):
-    return layout.html_elements(fx.table(spark, d, "pages")).select("doc_id", "elem_no", "text", "confidence")
-
-
 @query(
     f"WITH {fx.LINES} SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, count(*) FILTER (WHERE elem_no % 4 = 0) AS without_box, count(*) AS without_image FROM lines"
 )
@@ -382,25 +383,7 @@ def quality_metrics(spark, d):
     "SELECT doc_id, elem_no, CAST(grp AS INTEGER) AS grp FROM g"
 )
 def pack_lines(spark, d):
-    rows = fx.lines(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("elem_no", "text"))).alias("m"))
-    cut = rows.select("doc_id", F.arrays_zip(F.col("m.elem_no").alias("elem_no"), chunking.packed(F.col("m"), 1000).alias("grp")).alias("z"))
-    return cut.select("doc_id", F.explode("z").alias("z")).select("doc_id", F.col("z.elem_no").alias("elem_no"), F.col("z.grp").alias("grp"))
-
-
-def _headed(spark, d):
-    i = F.col("elem_no")
-    shown = F.when(i % 6 == 2, F.concat((1 + i % 30).cast("string"), F.lit(" Abschnitt der Reihe"))).when(i % 9 == 4, F.concat(F.col("text"), F.lit(" Ende. 3.1 Fristen gelten hier "), F.col("text"))).otherwise(F.col("text"))
-    return fx.lines(spark, d).withColumn("text", shown)
-
-
-@query()
-def chunk_layout(spark, d):
-    return chunking.chunk(_headed(spark, d))
-
-
-@query()
-def inline_section_split(spark, d):
-    return chunking.parts(_headed(spark, d)).select("doc_id", "page_number", "elem_no", "part_no", "kind", "text")
+    return chunking.packed(fx.lines(spark, d).select("doc_id", "elem_no", "text"), ["doc_id"], ["elem_no"], 1000, F.length("text")).select("doc_id", "elem_no", F.col("group").alias("grp"))
 
 
 @query(
@@ -506,7 +489,7 @@ def doc_type_scores(spark, d):
     return scored.select("doc_id", *(F.get("scores", F.lit(i))["score"].alias(k) for i, k in enumerate(WORDS)))
 
 
-@query(f"SELECT item_id AS query_id, query, name AS domain, CASE WHEN b.s >= 1 THEN b.s ELSE 0 END AS score FROM ({_best_sql('(SELECT item_id, substr(text, 1, 60) AS query FROM benchmark)', 'query', WORDS, 1, 'general')})")
+@query(f"SELECT item_id AS query_id, query, name AS domain, CASE WHEN b.s >= 1 THEN b.s ELSE 0 END AS score FROM ({_best_sql('(SELECT item_id, text AS query FROM benchmark)', 'query', WORDS, 1, 'general')})")
 def route_domain(spark, d):
     return answering.route(fx.questions(spark, d), WORDS)
 
@@ -574,11 +557,9 @@ def retrieve_as_sources(spark, d):
     return retrieval.as_sources(_as_hits(spark, d))
 
 
-@query()
-def embed_stub(spark, d):
-    return store.embed(fx.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("size"), Q6(geometry.norm(F.col("embedding"))).alias("norm"))
-
-
 @query("SELECT doc_id, contains(text, 'token') OR contains(text, 'License') AS hit FROM documents")
 def keyword_filter(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", text.contains_any(F.col("text"), ["token", "License"]).alias("hit"))
+
+
+from . import more  # noqa: E402, F401  the queries of sources, chunks and sessions

@@ -6,12 +6,28 @@ or more. Sections are injected: line i with i % 7 = 0 becomes a heading, one wit
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in fewer files than half the cores (small ones of one row group) are dealt out."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and len(rows.inputFiles()) < cores // 2 else rows
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors share; a temporary one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tesserae-")
+    return f"{root.rstrip('/')}/tesserae-{uuid.uuid4().hex[:12]}"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +76,10 @@ sections AS (
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query): the first 60 characters of the benchmark items."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("query"))
+    """(query_id, query): the benchmark items."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def probes(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFrame:
-    """(query_id, query): the vectors with the least ids as a batch of queries."""
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < most).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): the vectors whose id 50 divides as a batch of queries."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))

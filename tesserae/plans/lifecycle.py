@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import answering, chunking, graph, retrieval, store
 
+LOG = logging.getLogger(__name__)
 #: Rows that each tool retrieves.
 SEARCH_K, TABLE_K, TABLE_FALLBACK_K, SUMMARY_K, HIGHLIGHT_K, PAGE_FALLBACK = 8, 5, 3, 4, 10, 3
 #: Characters of a chunk that its relevance is judged by.
@@ -23,8 +26,8 @@ class Index:
 
     chunks: DataFrame  # doc_id, chunk_id, text, page_number, bboxes, chunk_type, confidence, image_path, embedding
     types: DataFrame  # doc_id, doc_type, score
-    nodes: DataFrame
-    edges: DataFrame
+    nodes: DataFrame | None
+    edges: DataFrame | None
 
 
 def index(elements: DataFrame, limit: int = 1000, embedder: Callable | None = None, model: str = "hashed", hints: dict | None = None, reply: Column | None = None) -> Index:
@@ -33,15 +36,26 @@ def index(elements: DataFrame, limit: int = 1000, embedder: Callable | None = No
     return Index(store.with_units(store.embed(chunks, model, embedder)), answering.classify(chunks, hints, reply), graph.nodes(chunks), graph.edges(chunks))
 
 
-def write(made: Index, path: str) -> None:
-    """Writes all tables: chunks and vectors once, the others from the written chunks where they come from them."""
+def write(made: Index, path: str, hints: dict | None = None, reply: Column | None = None) -> None:
+    """Writes all tables. Chunks are made once and written; types and graph come from the written chunks, postings too."""
     made.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    made.types.write.mode("overwrite").parquet(f"{path}/types")
-    graph.save(made.nodes, made.edges, path)
+    chunks = made.chunks.sparkSession.read.parquet(f"{path}/chunks")
+    answering.classify(chunks, hints, reply).write.mode("overwrite").parquet(f"{path}/types")
+    graph.save(graph.nodes(chunks), graph.edges(chunks), path)
+    retrieval.write_postings(retrieval.postings(keyed(chunks), "_key"), f"{path}/postings")
+
+
+def keyed(chunks: DataFrame) -> DataFrame:
+    """Chunks with a key of their own, which sorts by document and place."""
+    return chunks.withColumn("_key", F.concat_ws("\x01", F.col("doc_id").cast("string"), F.lpad(F.col("chunk_id").cast("string"), 10, "0")))
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    nodes, edges = graph.load(spark, path)
+    """The written tables. Without a graph there is nothing to expand along, and answers go on without it."""
+    try:
+        nodes, edges = graph.load(spark, path)
+    except AnalysisException:
+        nodes = edges = None
     return Index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/types"), nodes, edges)
 
 
@@ -53,15 +67,21 @@ def asked(questions: DataFrame, embedder: Callable | None = None, model: str = "
 
 def retrieve(made: Index, queries: DataFrame, k: int = retrieval.TOP_K, where: Column | None = None, post: Column | None = None, rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """The best k chunks for each of the queries (query_id, query, vector), by rank, with the chunks' columns."""
-    chunks = made.chunks.drop("embedding").withColumn("_key", F.struct("doc_id", "chunk_id"))
-    vectors = made.chunks.select(F.struct("doc_id", "chunk_id").alias("_key"), "embedding", "doc_id", "chunk_type")
+    chunks = keyed(made.chunks.drop("embedding"))
+    vectors = keyed(made.chunks).select("_key", "embedding", "doc_id", "chunk_type")
     found = retrieval.hybrid(chunks, vectors, queries, k, "_key", where, post)
     return (found if rerank is None else retrieval.rerank(found, queries, k, rerank, "_key")).drop("_key")
 
 
 def expanded(made: Index, hits: DataFrame, most: int = graph.MAX_EXPANDED) -> DataFrame:
-    """Hits and what they lead to in their documents' graphs; rank is the new order."""
-    more = graph.expand(hits.select("query_id", "rank", "doc_id", "chunk_id"), made.edges, most)
+    """Hits and what they lead to in their documents' graphs; rank is the new order. Without a usable graph the hits alone."""
+    try:
+        if made.edges is None:
+            raise LookupError("no graph")
+        more = graph.expand(hits.select("query_id", "rank", "doc_id", "chunk_id"), made.edges, most)
+    except (AnalysisException, LookupError) as e:
+        LOG.warning("not expanded: %s", e)
+        return made.chunks.drop("embedding").join(hits.select("query_id", "rank", "doc_id", "chunk_id"), ["doc_id", "chunk_id"])
     return made.chunks.drop("embedding").join(more.withColumnRenamed("pos", "rank"), ["doc_id", "chunk_id"])
 
 

@@ -5,96 +5,100 @@ Pages come as (doc_id, page_number, elements), elements in document order as str
 
 from __future__ import annotations
 
+import html
+import json
+import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from . import pdf
 
 ELEMENT = "struct<type:string,text:string,bbox:array<double>,confidence:double>"
 MIN_TEXT, MIN_PARAGRAPH, THRESHOLD = 3, 2, 0.85
 # Confidence by the layout model's type, and of the other extractors.
 CONFIDENCE = {"heading": 0.95, "paragraph": 0.92, "list": 0.90, "table": 0.85}
 OTHER_CONFIDENCE, BLOCK_CONFIDENCE, TEXT_CONFIDENCE, LAYOUT_CONFIDENCE = 0.88, 0.90, 0.92, 0.88
-#: How deep lists within lists are read.
-DEPTH = 4
-
-
-def _node(depth: int) -> str:
-    deeper = f",`list items`:array<{_node(depth - 1)}>,kids:array<{_node(depth - 1)}>" if depth else ""
-    return f"struct<type:string,content:string,text:string,`column number`:int{deeper}>"
-
-
-_CELL = _node(DEPTH)
-_ROW = f"struct<type:string,cells:array<{_CELL}>,kids:array<{_CELL}>>"
-KID = f"struct<type:string,content:string,text:string,`page number`:int,`bounding box`:array<double>,rows:array<{_ROW}>,`list items`:array<{_node(DEPTH)}>,kids:array<struct<type:string,content:string,text:string,`column number`:int,cells:array<{_CELL}>,`list items`:array<{_node(DEPTH - 1)}>,kids:array<{_node(DEPTH - 1)}>>>>"
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, kids) of layout JSON files, one document each; doc_id is the file's path. A file that doesn't parse has null kids."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), F.col("content").cast("string").alias("json"))
-    return raw.select("doc_id", F.from_json("json", f"struct<kids:array<{KID}>>")["kids"].alias("kids"))
-
+    """(doc_id, json) of layout JSON files, one document each; doc_id is the file's path."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), F.col("content").cast("string").alias("json"))
 
-def _filled(c: Column) -> Column:
-    return text.strip(F.coalesce(c, F.lit("")))
 
+def _said(node: dict, *names: str) -> str:
+    return str(next((node[n] for n in names or ("content",) if node.get(n) is not None), "")).strip()
 
-def _some(c: Column) -> Column:
-    return F.coalesce(F.size(c), F.lit(0)) > 0
 
+def _below(node: dict, key: str = "list items", kinds: tuple[str, ...] = ()) -> list[dict]:
+    """A node's children under key, else its kids, or those of some kinds."""
+    found = node.get(key) or [k for k in node.get("kids") or () if not kinds or isinstance(k, dict) and str(k.get("type") or "").lower() in kinds]
+    return [k for k in found if isinstance(k, dict)]
 
-def _each(node: Column, line) -> Column:
-    """line() of each of a node's list items, else of its kids, without blank ones."""
-    made = F.when(_some(node["list items"]), F.transform(node["list items"], line)).otherwise(F.transform(node["kids"], line))
-    return F.filter(F.coalesce(made, F.array().cast("array<string>")), lambda x: x != "")
 
+def flat_list(node: dict, repeat: bool = False) -> str:
+    """The lines of a list of any depth, each item before its own items. repeat: an item with items is named again before them."""
+    lines, todo = [], [node]
+    while todo:
+        one = todo.pop()
+        below = _below(one)
+        lines += [_said(one)] * (2 if repeat and below and one is not node else 1)
+        todo += reversed(below)
+    return "\n".join(filter(None, lines))
 
-def _lines(*parts: Column) -> Column:
-    return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n")
 
+def grid(table: dict) -> list[list[str]]:
+    """The cells of a table by row and column number: a cell's content, else its items; a blank for nothing."""
+    show = lambda c: _said(c, "content", "text") or flat_list(c) or " "
+    number = lambda c: c.get("column number") or 0
+    return [[show(c) for c in sorted(_below(row, "cells", ("cell", "table-cell")), key=number)] for row in _below(table, "rows", ("row",))]
 
-def flat_list(node: Column, depth: int = DEPTH, repeat: bool = False) -> Column:
-    """The lines of a list: its own content, then each item's content and the item's own items. repeat: an item with items is named again before them."""
-    own = _filled(node["content"])
-    return _lines(own, _items(node, depth, repeat)) if depth else own
 
+def markdown_table(table: dict) -> str:
+    """A table as Markdown: a rule below the first row, rows without cells left out; without rows its items as lines."""
+    cells = grid(table)
+    if not cells:
+        return flat_list(table)
+    line = lambda items: "| " + " | ".join(items) + " |" if items else ""
+    shown = [line([c.replace("|", "\\|").replace("\n", " ") for c in row]) for row in cells]
+    return "\n".join(filter(None, [shown[0], line(["---"] * len(cells[0])), *shown[1:]]))
 
-def _items(node: Column, depth: int, repeat: bool) -> Column:
-    def item(child: Column) -> Column:
-        line = _filled(child["content"])
-        if depth == 1:
-            return line
-        below = _items(child, depth - 1, repeat)
-        if repeat:
-            below = F.when(_some(child["list items"]) | _some(child["kids"]), _lines(line, below)).otherwise(below)
-        return _lines(line, below)
 
-    return F.array_join(_each(node, item), "\n")
+_SHOWN = {"table": markdown_table, "list": flat_list}
 
 
-def cell_text(cell: Column) -> Column:
-    """A cell's content, else its items; a blank for nothing."""
-    plain = _filled(F.coalesce(cell["content"], cell["text"]))
-    return F.when(plain != "", plain).otherwise(F.coalesce(F.nullif(flat_list(cell, 2), F.lit("")), F.lit(" ")))
+def layout_rows(layout: DataFrame) -> DataFrame:
+    """(doc_id, elem_no, odl_page, type, text, bbox, confidence, error) of layout JSON (doc_id, json).
 
+    The elements with a box of four numbers and text enough, lists and cells of any depth. Every document is read by
+    itself, in batches; one that doesn't parse is a row with its error.
+    """
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.string()]
+    names = ["doc_id", "elem_no", "odl_page", "type", "text", "bbox", "confidence", "error"]
 
-def markdown_table(kid: Column) -> Column:
-    """A table as Markdown: cells by column number, a rule below the first row, rows without cells left out; without rows its items as lines."""
-    kid_rows = F.transform(F.filter(kid["kids"], lambda k: F.lower(k["type"]) == "row"), lambda k: F.struct(k["cells"].alias("cells")))
-    rows = F.when(_some(kid["rows"]), F.transform(kid["rows"], lambda r: F.struct(F.when(_some(r["cells"]), r["cells"]).otherwise(F.filter(r["kids"], lambda c: F.lower(c["type"]).isin("cell", "table-cell"))).alias("cells")))).otherwise(kid_rows)
+    def rows(text: str | None) -> Iterator[tuple]:
+        for k, kid in enumerate(json.loads(text or "{}").get("kids") or ()):
+            box, kind = kid.get("bounding box"), str(kid.get("type") or "paragraph").lower()
+            shown = _SHOWN.get(kind, _said)(kid)
+            if isinstance(box, list) and len(box) == 4 and len(shown.strip()) >= MIN_TEXT:
+                yield k, kid.get("page number") or 1, "table" if kind == "table" else "text", shown, [float(x) for x in box], CONFIDENCE.get(kind, OTHER_CONFIDENCE), None
 
-    def line(r: Column, i: Column) -> Column:
-        numbered = F.transform(r["cells"], lambda c, k: F.struct(F.coalesce(c["column number"], F.lit(0)).alias("n"), k.alias("k"), F.replace(F.replace(cell_text(c), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")).alias("t")))
-        cells = F.transform(F.array_sort(numbered), lambda x: x["t"])
-        shown = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-        rule = F.concat(F.lit("\n| "), F.array_join(F.transform(cells, lambda _: F.lit("---")), " | "), F.lit(" |"))
-        return F.when(F.size(cells) > 0, F.when(i == 0, F.concat(shown, rule)).otherwise(shown)).otherwise(F.lit(""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                try:
+                    made = list(rows(text))
+                except (ValueError, TypeError, AttributeError, RecursionError) as e:
+                    made = [(*[None] * 6, f"{type(e).__name__}: {e}")]
+                cols = list(zip(*made, strict=True)) if made else [[]] * len(kinds)
+                yield pa.record_batch([pa.concat_arrays([batch.column(0).slice(k, 1)] * len(made)) if made else batch.column(0).slice(0, 0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    made = F.array_join(F.filter(F.transform(rows, line), lambda x: x != ""), "\n")
-    return F.when(_some(rows), made).otherwise(flat_list(kid, 2))
+    own = layout.schema["doc_id"].dataType.simpleString()
+    return layout.select("doc_id", "json").mapInArrow(run, f"doc_id {own}, elem_no int, odl_page int, type string, text string, bbox array<double>, confidence double, error string")
 
 
 def label_map(labels: DataFrame) -> DataFrame:
@@ -104,20 +108,11 @@ def label_map(labels: DataFrame) -> DataFrame:
 
 
 def layout_pages(layout: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The pages of layout JSON (doc_id, kids): elements with a box of four numbers and text enough, on their physical pages."""
-    kids = layout.select("doc_id", F.posexplode("kids").alias("elem_no", "kid")).filter(F.size("kid.bounding box") == 4)
-    kind = F.lower(F.coalesce("kid.type", F.lit("paragraph")))
-    shown = F.when(kind == "table", markdown_table(F.col("kid"))).when(kind == "list", flat_list(F.col("kid"), 2)).otherwise(_filled(F.col("kid.content")))
-    confidence = F.lit(OTHER_CONFIDENCE)
-    for name, value in CONFIDENCE.items():
-        confidence = F.when(kind == name, value).otherwise(confidence)
-    rows = kids.select("doc_id", "elem_no", F.coalesce("kid.page number", F.lit(1)).alias("odl_page"), F.when(kind == "table", "table").otherwise("text").alias("type"), shown.alias("text"), F.col("kid.bounding box").alias("bbox"), confidence.alias("confidence"))
-    rows = rows.filter(F.length(text.strip(F.col("text"))) >= MIN_TEXT)
-    if labels is not None:
-        rows = rows.join(label_map(labels), ["doc_id", "odl_page"], "left").withColumn("page_number", F.coalesce("physical", "odl_page"))
-    else:
-        rows = rows.withColumnRenamed("odl_page", "page_number")
-    return as_pages(rows)
+    """The pages of layout JSON (doc_id, json) by their physical numbers; documents that don't parse have none."""
+    rows = layout_rows(layout).filter("error is null").drop("error")
+    if labels is None:
+        return as_pages(rows.withColumnRenamed("odl_page", "page_number"))
+    return as_pages(rows.join(label_map(labels), ["doc_id", "odl_page"], "left").withColumn("page_number", F.coalesce("physical", "odl_page")))
 
 
 def as_pages(rows: DataFrame) -> DataFrame:
@@ -183,54 +178,128 @@ def block_elements(blocks: DataFrame) -> DataFrame:
     return rows.filter(F.length("text") >= MIN_TEXT)
 
 
+def unescaped(c: Column) -> Column:
+    """A text with all character references resolved, named or by number."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+    return plain(c)
+
+
 def html_elements(pages: DataFrame) -> DataFrame:
-    """Element rows of web pages (page_id, html): headings, paragraphs and list items in order, tags and references resolved; no boxes."""
+    """Element rows of web pages (page_id, html): headings, paragraphs and list items in order, tags and references resolved; no boxes.
+
+    References are resolved in Arrow batches, as built-in functions have no table of them.
+    """
     body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "")
     found = F.regexp_extract_all(body, F.lit(r"(?is)<(?:h[1-6]|p|li)(?:\s[^>]*)?>(.*?)(?=</?(?:h[1-6]|p|li|ul|article|footer|body)\b)"), F.lit(1))
     rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("elem_no", "raw"))
-    plain = F.regexp_replace(F.col("raw"), r"<[^>]*>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(name), F.lit(char))
+    plain = unescaped(F.regexp_replace(F.col("raw"), r"<[^>]*>", ""))
     rows = rows.select("doc_id", F.lit(1).alias("page_number"), "elem_no", F.lit("text").alias("type"), text.strip(plain).alias("text"), F.array(*[F.lit(0.0)] * 4).alias("bbox"), F.lit(TEXT_CONFIDENCE).alias("confidence"))
     return rows.filter(F.length("text") >= MIN_TEXT)
 
 
-def extract_files(spark: SparkSession, path: str, extractor: Callable[[bytes], list[tuple]], mode: str = "PERMISSIVE") -> DataFrame:
-    """Element rows of files by an extractor (bytes to tuples of page_number, elem_no, type, text, bbox, confidence), with error.
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, content) of files; doc_id is the path."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
 
-    A file that the extractor fails on is one row with its error; under FAILFAST the query fails.
-    """
-    names = ["doc_id", "page_number", "elem_no", "type", "text", "bbox", "confidence", "error"]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.string()]
+
+def _fails_open(read: Callable[[bytes], list[tuple]], width: int, mode: str) -> Callable[[bytes], list[tuple]]:
+    """read() with an error behind each row; a file that it fails on is one row with its error, under FAILFAST a failure."""
+
+    def rows(data: bytes) -> list[tuple]:
+        try:
+            return [(*r, None) for r in read(data)]
+        except Exception as e:
+            if mode == "FAILFAST":
+                raise
+            return [(*[None] * width, f"{type(e).__name__}: {e}")]
+
+    return rows
+
+
+def _read(contents: DataFrame, rows: Callable[[bytes], list[tuple]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """(doc_id, fields) of what rows() makes of each content, a file at a time."""
+    names, kinds = ["doc_id", *(f for f, _, _ in fields)], [t for _, _, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    rows = [(doc, *r, None) for r in extractor(data)]
-                except Exception as e:
-                    if mode == "FAILFAST":
-                        raise
-                    rows = [(doc, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            for k in range(batch.num_rows):
+                made = rows(batch.column(1)[k].as_py() or b"")
+                if made:
+                    cols = zip(*made, strict=True)
+                    yield pa.record_batch([batch.column(0).take(pa.array([k] * len(made))), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
+
+    own = contents.schema["doc_id"].dataType.simpleString()
+    return contents.select("doc_id", "content").mapInArrow(run, f"doc_id {own}, " + ", ".join(f"{f} {s}" for f, s, _ in fields))
+
+
+_ROW = [("page_number", "int", pa.int32()), ("elem_no", "int", pa.int32()), ("type", "string", pa.string()), ("text", "string", pa.string()), ("bbox", "array<double>", pa.list_(pa.float64())), ("confidence", "double", pa.float64()), ("error", "string", pa.string())]
+_PIECE = pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string())]))
+_RESULT = [("text", "string", pa.string()), ("chunks", "array<struct<page_number:int,text:string>>", _PIECE), ("page_count", "int", pa.int32()), ("error", "string", pa.string())]
+
+
+def extract(contents: DataFrame, extractor: Callable[[bytes], list[tuple]], mode: str = "PERMISSIVE") -> DataFrame:
+    """Element rows of contents (doc_id, content) by an extractor (bytes to tuples of page_number, elem_no, type, text, bbox, confidence), with error.
+
+    A file that the extractor fails on is one row with its error; under FAILFAST the query fails.
+    """
+    return _read(contents, _fails_open(extractor, len(_ROW) - 1, mode), _ROW)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "doc_id string, page_number int, elem_no int, type string, text string, bbox array<double>, confidence double, error string")
+
+def extract_files(spark: SparkSession, path: str, extractor: Callable[[bytes], list[tuple]], mode: str = "PERMISSIVE") -> DataFrame:
+    """extract() of files."""
+    return extract(files(spark, path), extractor, mode)
 
 
 def pdf_blocks(data: bytes) -> list[tuple]:
-    """An extractor of PDF text blocks; it needs the fitz library on the workers."""
-    import fitz
-
-    out = []
-    with fitz.open(stream=data, filetype="pdf") as pdf:
-        for number, page in enumerate(pdf, 1):
-            for k, block in enumerate(page.get_text("dict")["blocks"]):
-                shown = " ".join(s["text"] for line in block.get("lines", ()) for s in line["spans"]).strip()
-                if block["type"] == 0 and len(shown) >= MIN_TEXT:
-                    out.append((number, k, "text", shown, [float(x) for x in block["bbox"]], BLOCK_CONFIDENCE))
-    return out
+    """An extractor of PDF text blocks with text enough; a scanned page has none."""
+    return [(page, k, "text", shown, box, BLOCK_CONFIDENCE) for page, found in pdf.blocks(data) for k, (box, shown) in enumerate(found) if len(shown) >= MIN_TEXT]
+
+
+def layout_blocks(model: Callable[[int, list], list[tuple[list[float], str]]] | None = None) -> Callable[[bytes], list[tuple]]:
+    """An extractor by a layout model, which turns a page number and its blocks (box, text) into (box, text) of its own order.
+
+    Blank texts go. Without a model the extractor fails when it is called, so that routing goes on with the next one.
+    """
+
+    def extract(data: bytes) -> list[tuple]:
+        if model is None:
+            raise RuntimeError("no layout model")
+        shown = ((page, k, box, str(said or "").strip()) for page, found in pdf.blocks(data) for k, (box, said) in enumerate(model(page, found)))
+        return [(page, k, "text", said, [float(x) for x in box], LAYOUT_CONFIDENCE) for page, k, box, said in shown if said]
+
+    return extract
+
+
+def engine_text(data: bytes) -> tuple[str, list[dict], int]:
+    """(text, pieces with their page_number, pages) that a text engine gives for a file: PDF, HTML, or text in UTF-8, UTF-16 or Latin-1."""
+    if b"%PDF-" in data[:1024]:
+        pages = [(number, "\n\n".join(said for _, said in found if said)) for number, found in pdf.blocks(data)]
+        return "\f".join(said for _, said in pages), [{"page_number": n, "text": said} for n, said in pages], len(pages)
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        shown = data.decode("utf-16")
+    else:
+        try:
+            shown = data.decode("utf-8-sig")
+        except UnicodeDecodeError:
+            shown = data.decode("latin-1")
+    if re.match(r"\s*<(?:!doctype|html)\b", shown, re.I):
+        shown = re.sub(r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "", shown)
+        shown = html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|br|title)\b[^>]*>", "\n\n", shown)))
+    return shown, [], 1
+
+
+def engine_documents(contents: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """(doc_id, text, chunks, page_count, error) of contents (doc_id, content) by engine_text(); a file that fails is a row with its error."""
+    return _read(contents, _fails_open(lambda data: [engine_text(data)], len(_RESULT) - 1, mode), _RESULT)
+
+
+def engine_elements(documents: DataFrame) -> DataFrame:
+    """Element rows of an engine's results: its pages' paragraphs, without boxes."""
+    return paragraphs(text_pages(documents.filter("error is null")))
 
 
 def page_confidence(elements: Column) -> Column:

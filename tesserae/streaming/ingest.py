@@ -17,7 +17,7 @@ def index_stream(elements: DataFrame, path: str, checkpoint: str, buckets: int =
     """Chunks each batch of element rows and replaces its documents in the table at path. A batch that runs again gives the same table."""
 
     def put(batch: DataFrame, _: int) -> None:
-        store.upsert(batch.sparkSession, path, chunking.chunk(batch), buckets)
+        store.upsert(batch.sparkSession, path, chunking.chunk(batch), buckets, batch.select("doc_id"))
 
     return elements.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
