@@ -34,7 +34,7 @@ def layout_lists(spark, d):
     "WHEN 2 THEN CASE WHEN t = '' THEN 'inner' ELSE t || chr(10) || 'inner' END ELSE t END AS text, CASE m WHEN 0 THEN 0.95::DOUBLE WHEN 2 THEN 0.9::DOUBLE WHEN 3 THEN 0.85::DOUBLE WHEN 1 THEN 0.92::DOUBLE ELSE 0.92::DOUBLE END AS confidence FROM s) "
     "SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY elem_no) - 1 AS INTEGER) AS elem_no, type, text, confidence FROM r WHERE length(text) >= 3"
 )
-def layoutF.to_json(spark, d):
+def layout_json(spark, d):
     """Lines as headings, paragraphs, lists, tables and elements without a type; some without a box; odd pages are labelled two pages on."""
     i, t = F.col("elem_no"), F.col("text")
     node = lambda c: F.struct(c.alias("content"))
