@@ -28,6 +28,11 @@ MARK = "\u0001"
 WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     """c without Unicode white space at its ends."""
     return F.btrim(c, F.lit(WHITE))
@@ -54,11 +59,11 @@ def inline_parts(c: Column, pattern: str) -> Column:
 
     Blank parts go; a text without a heading, or of one part, is one body part as it was.
     """
-    cut = F.split(F.regexp_replace(c, pattern, f"{MARK}$1 $2{MARK}"), MARK)
-    parts = F.transform(cut, lambda x, i: F.struct(strip(x).alias("text"), (i % 2 == 1).alias("heading")))
-    parts = F.filter(parts, lambda p: p["text"] != "")
+    def named(cut: Column) -> Column:
+        return F.filter(F.transform(cut, lambda x, i: F.struct(strip(x).alias("text"), (i % 2 == 1).alias("heading"))), lambda p: p["text"] != "")
+
     whole = F.array(F.struct(c.alias("text"), F.lit(False).alias("heading")))
-    return F.when(F.size(parts) > 1, parts).otherwise(whole)
+    return let(named(F.split(F.regexp_replace(c, pattern, f"{MARK}$1 $2{MARK}"), MARK)), lambda parts: F.when(F.size(parts) > 1, parts).otherwise(whole))
 
 
 def dedupe_key(c: Column) -> Column:
@@ -144,15 +149,19 @@ def prefixed(c: Column, model: str, kind: str = "passage") -> Column:
 
 def parse_relevance(reply: Column) -> Column:
     """struct<relevant, score, reason> of a model's JSON reply, in a code fence or not; what doesn't parse counts as relevant at 0.5."""
-    bare = strip(reply)
-    plain = F.when(F.startswith(bare, F.lit("```")), strip(F.array_join(F.filter(F.split(bare, "\n"), lambda x: ~F.startswith(x, F.lit("```"))), "\n"))).otherwise(bare)
-    made = F.from_json(plain, "relevant boolean, score double, reason string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    broken = made["_corrupt"].isNotNull() | reply.isNull() | (plain == "")
-    return F.struct(
-        F.coalesce(F.when(~broken, made["relevant"]), F.lit(True)).alias("relevant"),
-        F.coalesce(F.when(~broken, made["score"]), F.lit(0.5)).alias("score"),
-        F.when(broken, F.lit("parse error")).otherwise(F.coalesce(made["reason"], F.lit(""))).alias("reason"),
-    )
+    fenced = lambda bare: F.when(F.startswith(bare, F.lit("```")), strip(F.array_join(F.filter(F.split(bare, "\n"), lambda x: ~F.startswith(x, F.lit("```"))), "\n"))).otherwise(bare)
+    plain = fenced(strip(reply))
+    parsed = F.from_json(F.nullif(plain, F.lit("")), "relevant boolean, score double, reason string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+
+    def judged(made: Column) -> Column:
+        good = made.isNotNull() & made["_corrupt"].isNull()
+        return F.struct(
+            F.coalesce(F.when(good, made["relevant"]), F.lit(True)).alias("relevant"),
+            F.coalesce(F.when(good, made["score"]), F.lit(0.5)).alias("score"),
+            F.when(good, F.coalesce(made["reason"], F.lit(""))).otherwise("parse error").alias("reason"),
+        )
+
+    return let(parsed, judged)
 
 
 def table_lines(c: Column) -> Column:

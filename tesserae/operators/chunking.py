@@ -27,7 +27,7 @@ def parts(elements: DataFrame, inline: str = INLINE) -> DataFrame:
     kept = elements.filter(~text.is_noise(F.col("text")))
     one = lambda c, heading: F.array(F.struct(c.alias("text"), F.lit(heading).alias("heading")))
     whole, inner = one(F.col("text"), False), text.inline_parts(F.col("text"), inline)
-    cut = F.when(F.col("type") == "table", whole).when(text.is_heading(F.col("text")), one(F.col("text"), True)).otherwise(F.when(F.size(inner) > 1, inner).otherwise(one(text.strip(F.col("text")), False)))
+    cut = F.when(F.col("type") == "table", whole).when(text.is_heading(F.col("text")), one(F.col("text"), True)).otherwise(text.let(inner, lambda found: F.when(F.size(found) > 1, found).otherwise(one(text.strip(F.col("text")), False))))
     made = kept.select("*", F.posexplode(cut).alias("part_no", "part"))
     kind = F.when(F.col("type") == "table", "table").when(F.col("part.heading"), "heading").otherwise("body")
     return made.select("doc_id", "page_number", "image_path", "elem_no", "part_no", kind.alias("kind"), F.col("part.text").alias("text"), "bbox", "confidence")

@@ -23,9 +23,14 @@ MOST_SENT, BLOCK = 100_000, 2_048
 NO_RESULTS, NO_TABLE, NO_SECTION, NO_REGION = "Keine relevanten Abschnitte gefunden.", "No table found.", "Section not found.", "No region found on page."
 
 
+def fits(df: DataFrame, most: int = MOST_SENT) -> bool:
+    """Whether df has no more than most rows, so that it may be sent to all tasks."""
+    return df.limit(most + 1).count() <= most
+
+
 def bounded(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
-    """df, marked to be sent to all tasks if it has no more than most rows; else it is joined as any table."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df, marked to be sent to all tasks if it fits; else it is joined as any table."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[pa.Table]:
@@ -149,7 +154,8 @@ def bm25_asked(made: Postings, queries: DataFrame, key: str = "doc_id", group: t
     if "part" in terms.columns:  # written ones: the folders are known before anything is read
         places = [r["p"] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("p")).distinct().collect()]  # parts at most
         terms, idf = (df.filter(F.col("part").isin(places)).drop("part") for df in (terms, idf))
-    asked = bounded(idf.join(bounded(wanted), on).select("query_id", "term", "_times", "avg", "idf"))
+    small = F.broadcast if fits(wanted) else lambda df: df  # a term asked for has one row of statistics
+    asked = small(idf.join(small(wanted), on).select("query_id", "term", "_times", "avg", "idf"))
     length = F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg")
     part = F.col("_times") * F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * length)
     return terms.join(asked, on).groupBy("query_id", key).agg(F.sum(part).alias("score"))
