@@ -12,8 +12,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: No rate may ask for more copies of one document on average.
-MOST = 64.0
+#: Mean of one draw at most; a greater rate is the sum of several draws, so that no step underflows.
+ONE_DRAW = 64.0
+#: Texts that stand in several rows go to all tasks up to so many; beyond it they are joined.
+MOST_SENT = 100_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -37,37 +39,52 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float, total: float
     """(source, mean copies) of each weighted source, and of all other sources together under None.
 
     A source's rate is its share of the weights times total over its size by the measure; total is the size of all of
-    docs where it is not given. An empty source's rate is 0. What reaches the driver is as long as the weights.
+    docs where it is not given. A source without any size can't be brought to a weight: its rows have rate 1. A source
+    without rows has none. What reaches the driver is as long as the weights.
     """
     named = F.when(F.col("source").isin(*weights), F.col("source")) if weights else F.lit(None).cast("string")
     sizes = {r["bucket"]: float(r["size"] or 0) for r in docs.groupBy(named.alias("bucket")).agg(F.sum(measure).alias("size")).collect()}
     share = {**weights, None: other}
     mass, total = sum(w for s, w in share.items() if sizes.get(s)), sum(sizes.values()) if total is None else total
-    out = []
-    for source, weight in share.items():
-        rate = weight / mass * total / sizes[source] if sizes.get(source) and mass else 0.0
-        if rate > MOST:
-            raise ValueError(f"{source}: {rate:.0f} copies of each document; the most is {MOST:.0f}")
-        out.append((source, rate))
-    return out
+    return [(s, (w / mass * total / sizes[s] if mass else 0.0) if sizes[s] else 1.0) for s, w in share.items() if s in sizes]
 
 
-def mix(docs: DataFrame, weights: dict[str, float], other: float, seed: int = 17, total: float | None = None, measure: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], other: float, seed: int = 17, total: float | None = None, measure: Column | None = None, most_sent: int = MOST_SENT) -> DataFrame:
     """docs with copy (from 0) and mix_key, each row repeated by its Poisson count, in the order of mix_key.
 
     weights: of the named sources; other: of all other sources together, null included. The rows of one source share its
-    rate. Size is measured in code points of text unless measure says otherwise; a null text has none, yet is replicated
-    like any row of its source. Rows under one doc_id with one text have the same count each. An empty table gives an
-    empty result. Columns that are called copy or mix_key are replaced, all others kept; names that
-    begin with __tess are the operator's own.
+    rate, also those of a null or blank text, which add nothing to its size. A draw hangs on doc_id and text, so rows
+    without an id draw by their texts. Rows that are equal in all columns draw one by one; their copies are numbered
+    together. Rows of one id and text that differ elsewhere share their draw; in order, ties of mix_key go by id, copy and
+    text. Size is measured in code points of text unless measure says otherwise. Texts of any length are read once where
+    they lie. An empty table gives an empty result. Columns that are called copy or mix_key are replaced, all others kept;
+    names that begin with __tess are the operator's own. Rows move once: the copies, to the part of the order they fall
+    into, as mix_key is spread evenly.
     """
+    spark = docs.sparkSession
     measure = F.coalesce(F.length("text"), F.lit(0)) if measure is None else measure
-    table = docs.sparkSession.createDataFrame([(s, steps(r)) for s, r in rates(docs, weights, other, total, measure) if r > 0], "__tess_bucket string, __tess_steps array<double>")
+    found = [(s, r, max(1, math.ceil(r / ONE_DRAW))) for s, r in rates(docs, weights, other, total, measure)]
+    table = spark.createDataFrame([(s, steps(r / n), n) for s, r, n in found if r > 0], "__tess_bucket string, __tess_steps array<double>, __tess_draws int")
     named = F.when(F.col("source").isin(*weights), F.col("source")) if weights else F.lit(None).cast("string")
-    docs = docs.drop("copy", "mix_key")
-    met = docs.withColumn("__tess_named", named).join(F.broadcast(table), F.col("__tess_named").eqNullSafe(F.col("__tess_bucket")))  # a row for each weight
-    met = met.withColumn("__tess_u", uniform(F.lit(seed), F.col("doc_id")))
-    count = F.size(F.filter("__tess_steps", lambda p: p <= F.col("__tess_u")))
+    met = _counted(docs.drop("copy", "mix_key").withColumn("__tess_md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))), most_sent).withColumn("__tess_named", named)
+    met = met.join(F.broadcast(table), F.col("__tess_named").eqNullSafe(F.col("__tess_bucket")))  # a row for each weight
+    own = (F.col("doc_id"), F.col("__tess_md5"))
+    one = lambda t: F.size(F.filter("__tess_steps", lambda p: p <= uniform(F.lit(seed), *own, t)))
+    count = F.aggregate(F.sequence(F.lit(0), F.col("__tess_times") * F.col("__tess_draws") - 1), F.lit(0), lambda s, t: s + one(t))
     spread = met.withColumn("__tess_n", count).filter("__tess_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__tess_n") - 1)))
-    spread = spread.withColumn("mix_key", uniform(F.lit(seed + 1), F.col("doc_id"), F.col("copy")))
-    return spread.drop("__tess_bucket", "__tess_steps", "__tess_named", "__tess_u", "__tess_n").orderBy("mix_key", "doc_id", "copy")
+    spread = spread.withColumn("mix_key", uniform(F.lit(seed + 1), *own, F.col("copy"))).drop("__tess_bucket", "__tess_steps", "__tess_named", "__tess_n", "__tess_draws", "__tess_times")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread.repartitionById(parts, F.floor(F.col("mix_key") * parts).cast("int"))
+    return dealt.sortWithinPartitions("mix_key", "doc_id", "copy", "__tess_md5").drop("__tess_md5")
+
+
+def _counted(docs: DataFrame, most_sent: int) -> DataFrame:
+    """docs with __tess_times: rows that are equal in all columns are one row with their number. Only texts that stand in several rows are grouped, each task's own first."""
+    ids = docs.groupBy("doc_id", "__tess_md5").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__tess_id"), F.col("__tess_md5").alias("__tess_text"))
+    head = ids.limit(most_sent + 1).count()
+    if not head:
+        return docs.withColumn("__tess_times", F.lit(1))
+    ids = F.broadcast(ids) if head <= most_sent else ids
+    same = docs["doc_id"].eqNullSafe(F.col("__tess_id")) & (docs["__tess_md5"] == F.col("__tess_text"))
+    equal = docs.join(ids, same, "left_semi").groupBy(*docs.columns).agg(F.count("*").cast("int").alias("__tess_times"))
+    return docs.join(ids, same, "left_anti").withColumn("__tess_times", F.lit(1)).unionByName(equal)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,15 @@ SHARDS = [f"shard-{k:03d}" for k in range(64)]
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 #: The tokenizer's file; the setting tesserae.llm.tokenizer names another.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-#: For runs without a secret of their own in the setting tesserae.llm.pii.key.
-OPEN_KEY = "surrogates of the test tables"
+#: The setting that holds the secret of the surrogates.
+KEY = "tesserae.llm.pii.key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that comes in fewer files than half the cores (small ones of one row group) is dealt out."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and len(rows.inputFiles()) < cores // 2 else rows
 
 
 def tokenizer(spark: SparkSession) -> bytes:
@@ -29,7 +33,10 @@ def tokenizer(spark: SparkSession) -> bytes:
 
 
 def key(spark: SparkSession) -> bytes:
-    return spark.conf.get("tesserae.llm.pii.key", OPEN_KEY).encode()
+    """The secret of the surrogates; without one in the settings a random one, which the session keeps and nobody else has."""
+    if not spark.conf.get(KEY, ""):
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY).encode()
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,22 +86,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
+_U = "CAST(CAST('0x' || substr(md5({0}), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE"
+_OWN = "coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))"
+
 _MIX = f"""
 WITH RECURSIVE named AS (SELECT *, CASE WHEN source IN ({", ".join(f"'{s}'" for s in WEIGHTS)}) THEN source END AS bucket FROM documents),
 sizes AS (SELECT bucket, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM named GROUP BY bucket),
 share(bucket, weight) AS (VALUES {", ".join(f"('{s}', CAST({w} AS DOUBLE))" for s, w in WEIGHTS.items())}, (NULL, CAST({OTHER} AS DOUBLE))),
-used AS (SELECT share.bucket, weight, size FROM share JOIN sizes ON share.bucket IS NOT DISTINCT FROM sizes.bucket WHERE size > 0),
-rates AS (SELECT bucket, weight / (SELECT sum(weight) FROM used) * (SELECT sum(size) FROM sizes) / size AS rate FROM used),
+used AS (SELECT share.bucket, weight, size FROM share JOIN sizes ON share.bucket IS NOT DISTINCT FROM sizes.bucket),
+whole AS (SELECT bucket, CASE WHEN size > 0 THEN weight / (SELECT sum(weight) FROM used WHERE size > 0) * (SELECT sum(size) FROM sizes) / size ELSE 1 END AS rate FROM used),
+rates AS (SELECT bucket, greatest(1, CAST(ceil(rate / 64) AS INTEGER)) AS draws, rate / greatest(1, ceil(rate / 64)) AS rate FROM whole),
 steps(bucket, rate, k, term, total) AS (
   SELECT bucket, rate, CAST(0 AS DOUBLE), exp(-rate), exp(-rate) FROM rates
   UNION ALL
   SELECT bucket, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM steps WHERE total < 1 AND (term > 1e-18 OR k < rate)),
 cuts AS (SELECT bucket, list(total) AS cut FROM steps WHERE total < 1 AND (term > 1e-18 OR k < rate) GROUP BY bucket),
-drawn AS (SELECT named.*, cut, CAST(CAST('0x' || substr(md5('{SEED}:' || doc_id), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM named JOIN cuts ON named.bucket IS NOT DISTINCT FROM cuts.bucket),
-spread AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(len(list_filter(cut, lambda p: p <= u)))) AS copy FROM drawn)
-SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
-  CAST(CAST('0x' || substr(md5('{SEED + 1}:' || doc_id || ':' || copy), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS mix_key
-FROM spread
+equal AS (SELECT *, count(*) AS times FROM named GROUP BY ALL),
+drawn AS (SELECT equal.*, cut, {_OWN} AS own, times * draws AS tries FROM equal JOIN rates ON equal.bucket IS NOT DISTINCT FROM rates.bucket JOIN cuts ON equal.bucket IS NOT DISTINCT FROM cuts.bucket),
+tried AS (SELECT own, doc_id, text, lang, source, n_chars, cut, unnest(range(tries)) AS t FROM drawn),
+counted AS (SELECT own, doc_id, text, lang, source, n_chars, sum(len(list_filter(cut, lambda p: p <= {_U.format(f"'{SEED}:' || own || ':' || t")}))) AS n FROM tried GROUP BY ALL),
+spread AS (SELECT * EXCLUDE (n), unnest(range(CAST(n AS BIGINT))) AS copy FROM counted)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, {_U.format(f"'{SEED + 1}:' || own || ':' || copy")} AS mix_key FROM spread
 """
 
 _RULES = f"""
