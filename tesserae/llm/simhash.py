@@ -2,10 +2,9 @@
 
 A 64-bit fingerprint is cut into two segments of 32 bits. Two fingerprints at two or fewer differing bits have a segment
 that differs in at most one bit, and so agree in one of its 32 one-wildcard variants. Every variant is an index key;
-equal keys give candidates, which are verified on the whole fingerprint. A key with exactly two fingerprints is verified
-from its least and greatest one. The fingerprints of fuller keys are verified by whole-width variants: two fingerprints
-link exactly if they share a 64-bit value that differs from either in at most one bit, and at most 65 fingerprints share
-one such value. So no group is paired with itself and none is collected beyond that bound.
+fingerprints with a key that another one has are candidates. All candidates, whatever their number in a key, are verified
+by one rule: two fingerprints link exactly if they share a 64-bit value that differs from either in at most one bit. The
+at most 65 fingerprints around a value are kept as a mask, so no key is paired with itself and no group is collected.
 """
 
 from __future__ import annotations
@@ -62,23 +61,26 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints fp just as all links at two or fewer differing bits do."""
     part = {0: "(fp & 4294967295L)", 1: "shiftrightunsigned(fp, 32)"}
     keys = F.expr("concat(" + ", ".join(f"transform(sequence(0, 31), i -> shiftleft({32 * s}L + i, 32) | ({p} & ~shiftleft(1L, i)))" for s, p in part.items()) + ")")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.repartition(tasks, "fp")  # 8 bytes a row move, so that all tasks share the variants
     index = fps.select("fp", F.explode(keys).alias("key"))
-    met = scratch.save(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1"), "met")
-    near = met.filter("n = 2 and bit_count(u ^ v) <= 2").select("u", "v")
-    # the members of a fuller key have its segment with the wildcard's bit either way: two rows a fingerprint find them, not 64
+    met = scratch.save(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "met")
+    # the members of a key have its segment with the wildcard's bit either way: two rows a fingerprint find them, not 64
     ways = F.expr("transform(array(0L, shiftleft(1L, cast(shiftright(key, 32) & 31 as int))), bit -> shiftleft(shiftright(key, 37), 32) | (key & 4294967295L) | bit)")
-    fuller = met.filter("n > 2").select(F.explode(ways).alias("part")).distinct()
-    full = fps.select("fp", F.explode(F.expr(f"array({part[0]}, shiftleft(1L, 32) | {part[1]})")).alias("part")).join(fuller, "part").select("fp").distinct()
-    ball = full.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("key"))
-    ball = ball.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1").select(F.array_min("fps").alias("v"), F.explode("fps").alias("u"))  # 65 fingerprints at most
-    return near.unionByName(ball.filter("u <> v").select("u", "v")).distinct()
+    shared = met.select(F.explode(ways).alias("part")).distinct()
+    near = fps.select("fp", F.explode(F.expr(f"array({part[0]}, shiftleft(1L, 32) | {part[1]})")).alias("part")).join(shared, "part").select("fp").distinct().repartition(tasks, "fp")
+    ball = near.select(F.explode(F.expr("concat(array(struct(fp as key, 0L as mask, 1 as own)), transform(sequence(0, 63), i -> struct(fp ^ shiftleft(1L, i) as key, shiftleft(1L, i) as mask, 0 as own)))")).alias("x")).select("x.*")
+    ball = ball.groupBy("key").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own")).filter("bit_count(mask) + own > 1")
+    fps_of = F.expr("concat(if(own = 1, array(key), array()), transform(filter(sequence(0, 63), i -> (shiftrightunsigned(mask, i) & 1) = 1), i -> key ^ shiftleft(1L, i)))")
+    met = ball.select(fps_of.alias("fps")).select(F.array_min("fps").alias("v"), F.explode("fps").alias("u"))
+    return met.filter("u <> v").select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs (doc_id, text, ...).
 
     component_id is the smallest doc_id among all documents reachable over links, the document itself included. A null or
-    blank text has fingerprint zero and links like any other; repeated rows stay and share a component; an empty table
+    blank text has fingerprint zero and links like any other, a text of any length is summed in blocks; repeated rows stay and share a component; an empty table
     gives an empty result; a null doc_id gets the smallest non-null id that it reaches. Other columns are not looked at.
     """
     fps, placed = _placed(docs, width)
@@ -107,7 +109,7 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "resemblance")
     made = scratch.save(resemblance.nodes(docs, width, text_hash(F.col("text"))), "nodes")
     roots = resemblance.roots(made, docs, width, text_hash(F.col("text")), scratch)
-    heads = made.join(roots, "s", "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.min(F.struct("least.none", "least.doc_id", "least.h")).alias("head"))
+    heads = made.join(roots, "s", "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("least").alias("head"))
     heads = heads.select(F.col("head.doc_id").alias("__tess_doc"), F.col("head.h").alias("__tess_head"))
     rows = docs.withColumn("__tess_h", text_hash(F.col("text")))
     hit = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__tess_doc")) & (F.col("__tess_h") == F.col("__tess_head")), "left_semi")

@@ -3,12 +3,15 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import math
+import re
 import time
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -105,13 +108,29 @@ def test_mix_meets_weights_and_shuffles(spark):
         assert found[k] / n == pytest.approx(math.exp(-rate) * rate**k / math.factorial(k), abs=0.04)
 
 
-def test_mix_odd(spark):
+@pytest.mark.parametrize("most_sent", [mixing.MOST_SENT, 0])
+def test_mix_odd(spark, most_sent):
     docs = spark.createDataFrame([(None, None, None), (1, "", "a"), (1, "text", "a"), (1, "text", "a"), (2, "more", None)], "doc_id bigint, text string, source string")
-    rows = mixing.mix(docs, {"a": 0.5, "absent": 0.5}, 0.5).collect()
-    assert len({(r.doc_id, r.copy) for r in rows if r.text == "text"}) * 2 == sum(r.text == "text" for r in rows)
+    rows = mixing.mix(docs, {"a": 0.5, "absent": 0.5}, 0.5, most_sent=most_sent).collect()
+    assert len({(r.doc_id, r.text, r.copy) for r in rows}) == len(rows)
     assert mixing.mix(docs.limit(0), {"a": 1.0}, 0.0).collect() == []
-    with pytest.raises(ValueError):
-        mixing.mix(docs, {"a": 1.0}, 0.0, total=1e6).collect()
+    null = spark.createDataFrame([(None, f"text {i}", "a") for i in range(1000)], "doc_id bigint, text string, source string")
+    found = Counter(r.text for r in mixing.mix(null, {"a": 1.0}, 0.0, most_sent=most_sent).collect())  # each by a draw of its own
+    assert 900 < sum(found.values()) < 1100 and 580 < len(found) < 690
+    equal = spark.createDataFrame([(7, "same", "a")] * 1000, "doc_id bigint, text string, source string")
+    rows = mixing.mix(equal, {"a": 1.0}, 0.0, most_sent=most_sent).collect()
+    assert 900 < len(rows) < 1100 and len({r.mix_key for r in rows}) == len(rows)
+    blank = spark.createDataFrame([(i, " " if i % 2 else None, "b") for i in range(50)] + [(100 + i, "words", "a") for i in range(50)], "doc_id bigint, text string, source string")
+    some = Counter(r.source for r in mixing.mix(blank.withColumn("text", F.when(F.col("source") == "b", F.lit("")).otherwise(F.col("text"))), {"a": 0.5, "b": 0.5}, 0.0).collect())
+    assert some["b"] > 25 and some["a"] > 25
+
+
+def test_mix_of_a_great_rate(spark):
+    """A rate that no single draw could have: its copies have the mean and the variance of a Poisson distribution."""
+    docs = spark.createDataFrame([(i, "x", "rare" if i < 40 else "rest") for i in range(80)], "doc_id bigint, text string, source string")
+    copies = Counter(r.doc_id for r in mixing.mix(docs, {"rare": 1.0}, 0.0, total=40 * 900.0).collect())
+    mean = sum(copies[i] for i in range(40)) / 40
+    assert mean == pytest.approx(900, abs=20) and 0.4 < sum((copies[i] - mean) ** 2 for i in range(40)) / 39 / 900 < 2 and not any(i >= 40 for i in copies)
 
 
 # Sharding
@@ -193,20 +212,26 @@ def test_all_are_registered():
     assert set(queries.queries()) | {"pipeline"} <= names
 
 
+def plain_groups(texts):
+    """By id the least id of its group: texts are linked if their sets of five-word shingles have a resemblance of 0.8."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids, groups = sorted(sets), {i: i for i in sets}
+    for a, b in itertools.combinations(ids, 2):
+        if groups[a] != groups[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            lo, hi = sorted((groups[a], groups[b]))
+            groups = {k: lo if v == hi else v for k, v in groups.items()}
+    return groups
+
+
 def plain_pipeline(spark):
     """The stages without Spark, from the classifier's scores on."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     verdicts = {r.doc_id: r.kept for r in kneser_ney.judged(docs, labels).collect()}
     rows = {r.doc_id: r for r in docs.collect() if verdicts[r.doc_id]}
-    fps = {i: simhash.fingerprint(r.text, 5) for i, r in rows.items()}
-    kept, groups = [], {i: i for i in fps}
-    ids = sorted(fps)
-    for a in ids:
-        for b in ids:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2 and groups[a] != groups[b]:
-                lo, hi = sorted((groups[a], groups[b]))
-                groups = {k: lo if v == hi else v for k, v in groups.items()}
-    kept = sorted(set(groups.values()))
+    kept = sorted(set(plain_groups({i: r.text for i, r in rows.items()}).values()))
     attempts: dict = {}
     own = sorted({(k, c) for i in kept for _, _, k, c in pii.detect(rows[i].text)})
     while True:
@@ -231,7 +256,7 @@ def plain_pipeline(spark):
         codec = piece.Codec(f.read())
     for i in kept:
         s = bucket(rows[i].source)
-        u = int(hashlib.md5(f"{queries.SEED}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        u = int(hashlib.md5(f"{queries.SEED}:{i}:{hashlib.md5(texts[i].encode()).hexdigest()}:0".encode()).hexdigest()[:13], 16) / (1 << 52)
         n = sum(c <= u for c in mixing.steps(share[s] / mass * sum(sizes.values()) / sizes[s]))
         out[i, tuple(codec.encode(texts[i]))] += n
     return +out

@@ -98,7 +98,8 @@ def test_keep_one_by_resemblance(spark):
 
 def test_keep_one_of_a_large_group(spark, monkeypatch):
     """Many copies of one text that share keys are linked by way of few, and a text below the bound stays."""
-    monkeypatch.setattr(resemblance, "FEW", 2)
+    monkeypatch.setattr(resemblance, "IN_BLOCK", 4)
+    monkeypatch.setattr(resemblance, "PASSING", 7)
     base = [f"w{i}" for i in range(200)]
     rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(100)] + [(100, " ".join(base[:140] + [f"y{i}" for i in range(60)]))]
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == [0, 100]
@@ -166,6 +167,16 @@ def test_sketch_empty(spark):
     assert sketch.fingerprint(with_clash(spark, ODD).limit(0)).collect() == []
 
 
+def test_sketch_of_string_ids(spark):
+    """Ids of any type, and one id with very many texts."""
+    rows = [(f"id{i % 50:02d}" if i % 3 else None, f"text {i} " + "w " * (i % 9)) for i in range(600)]
+    got = sketch.fingerprint(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    cut = lambda t, after: t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+    want = Counter((i, len(t), hashlib.sha256(cut(t, rows[(k + 1) % 600][1]).encode()).hexdigest()) for k, (i, t) in enumerate(rows))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+
+
 def test_sketch_is_native(spark):
     plan = sketch.fingerprint(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -206,6 +217,21 @@ def test_removal_in_chunks(spark, monkeypatch):
     assert removal(docs) == plain_removal([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_removal_of_one_letter(spark):
+    """A long text of one letter: a piece a byte, whose runs are merged before they meet in a row."""
+    got = suffix.remove_repeats(spark.createDataFrame([(1, "a" * 300_000), (2, "b" * 400 + "c" * 150)], "doc_id bigint, text string")).collect()
+    assert sorted(tuple(r)[:4] for r in got) == [(1, 300_000, 300_000, 1), (2, 550, 400, 1)]
+
+
+def test_removal_of_other_lengths(spark):
+    docs = spark.createDataFrame(ODD, "doc_id bigint, text string")
+    for length in (64, 286):
+        assert removal(docs, length=length) == plain_removal(ODD, length)
+    for length in (63, 287):
+        with pytest.raises(ValueError):
+            suffix.remove_repeats(docs, length)
+
+
 def test_removal_empty(spark):
     assert suffix.remove_repeats(with_clash(spark, ODD).limit(0)).collect() == []
 
