@@ -6,7 +6,8 @@ Its counts are sharded by n-gram: sums, left continuations, contexts and the pro
 joined on n-gram keys. A model of at most MOST_SENT n-grams goes to the workers, which look words up in it; a larger one
 stays sharded, and the n-grams of the corpus' distinct words are joined to it. Both give the same scores. A document's
 perplexity, drawn towards its language's mean by PRIOR characters so that short texts aren't judged by chance, is held
-against its language's quantile over all trusted documents with an odd hash.
+against its language's quantile over all trusted documents with an odd hash: the one counted, or its upper bound by a normal
+distribution of the logarithms if that is greater, as few documents say little about their tail.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ from .common import Scratch, bound_batches
 ORDER = 5
 #: n-grams (24 bytes each) and ids (8 bytes) that are sent to every worker; more are joined.
 MOST_SENT, MOST_IDS = 2_000_000, 1_000_000
-#: A language's threshold is this quantile of trusted documents' scores, times MARGIN; weight of the language's mean in characters.
-QUANTILE, MARGIN, PRIOR = 0.999, 1.2, 40
-#: Languages with thresholds of their own, most frequent first, and the trusted documents that each needs.
-LANGUAGES, LEAST_TRUSTED = 1_000, 20
+#: A language's threshold is this quantile of trusted documents' scores; weight of the language's mean in characters.
+QUANTILE, PRIOR = 0.999, 40
+#: How sure a quantile's upper bound is: languages with few trusted documents get a wider one.
+SURE = 0.99
+#: Trusted documents that a language needs for a threshold of its own, and languages whose thresholds go to all tasks; more are joined.
+LEAST_TRUSTED, MOST_LANGUAGES = 20, 10_000
 #: Words whose scores a worker keeps, n-grams that it counts before it passes them on, characters that it scores at a time.
 CACHE, HELD, BLOCK = 300_000, 200_000, 1 << 18
 
@@ -342,49 +346,56 @@ def _joined_scores(docs: DataFrame, model: DataFrame, log_unseen: float, order:
     return sized.withColumn("n_scored", F.aggregate(words, F.col("n_words"), lambda s, w: s + F.length(w))).drop("__tess_t")
 
 
-def limits(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[list[tuple[str, float, float]], tuple[float, float] | None]:
-    """(lang, mean, threshold) of the languages, and of all together; of trusted rows with an odd hash, or of all if there are none."""
-    held = scored.join(trusted(labels), "doc_id", "left_semi").filter("n_scored > 0")
+def limits(scored: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = QUANTILE) -> tuple[DataFrame | None, tuple[float, float] | None]:
+    """(lang, mean, cut) of all languages with LEAST_TRUSTED documents, and of all together; of trusted rows with an odd hash, or of all if there are none."""
+    held = scored.join(trusted(labels), "doc_id", "left_semi").filter("n_scored > 0").select("doc_id", "lang", "n_scored", "nll")
     outside = half(held, True)
-    outside = held if outside.isEmpty() else outside
+    outside = scratch.save(held if outside.isEmpty() else outside, "outside")
     mean = (F.sum("nll") / F.sum("n_scored")).alias("mean")
     whole = outside.agg(mean).first()["mean"]
     if whole is None:
-        return [], None
-    means = [(r["lang"], r["mean"]) for r in outside.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), mean).filter(F.col("n") >= LEAST_TRUSTED).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    table = docs_limits(outside, [(s, m, 0.0) for s, m in means], (whole, 0.0))
-    cut = lambda df, *by: df.groupBy(*by).agg((F.percentile_approx("score", quantile, 100_000) * MARGIN).alias("cut")).collect()
-    own = {r["lang"]: r["cut"] for r in cut(table.filter(F.col("own")), "lang")}
-    return [(s, m, own[s]) for s, m in means if s in own], (whole, cut(table)[0]["cut"])
-
-
-def docs_limits(scored: DataFrame, by_lang: list[tuple[str, float, float]], whole: tuple[float, float]) -> DataFrame:
+        return None, None
+    means = scratch.save(outside.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), mean).filter(F.col("n") >= LEAST_TRUSTED).select("lang", "mean", F.lit(0.0).alias("cut")), "means")
+    drawn = docs_limits(outside, means, (whole, 0.0))
+    # the quantile's upper bound at the level SURE by a normal distribution of the logarithms (a one-sided tolerance limit)
+    z, sure, n = NormalDist().inv_cdf(quantile), NormalDist().inv_cdf(SURE), F.count("*")
+    a, b = F.greatest(1 - sure**2 / (2 * F.greatest(n - 1, F.lit(1))), F.lit(0.1)), z**2 - sure**2 / n
+    tail = F.exp(F.avg(F.ln("score")) + (z + F.sqrt(F.greatest(z**2 - a * b, F.lit(0.0)))) / a * F.coalesce(F.stddev(F.ln("score")), F.lit(0.0)))
+    cut = F.greatest(F.percentile_approx("score", quantile, 100_000), tail).alias("cut")
+    own = scratch.save(means.drop("cut").join(drawn.filter("own").groupBy("lang").agg(cut), "lang"), "limits")
+    return own, (whole, drawn.agg(cut).first()["cut"])
+
+
+def docs_limits(scored: DataFrame, by_lang: DataFrame | None, whole: tuple[float, float]) -> DataFrame:
     """scored with threshold, own (its language has one) and score: the perplexity drawn towards the mean."""
-    table = scored.sparkSession.createDataFrame(by_lang, "_lang string, _mean double, _cut double")
-    met = scored.join(F.broadcast(table), F.col("lang") == F.col("_lang"), "left")  # LANGUAGES rows at most
-    mean = F.coalesce("_mean", F.lit(whole[0]))
+    if by_lang is None:
+        met = scored.withColumns({"__tess_lang": F.lit(None).cast("string"), "__tess_mean": F.lit(None).cast("double"), "__tess_cut": F.lit(None).cast("double")})
+    else:
+        table = by_lang.select(F.col("lang").alias("__tess_lang"), F.col("mean").alias("__tess_mean"), F.col("cut").alias("__tess_cut"))
+        table = F.broadcast(table) if table.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES else table
+        met = scored.join(table, F.col("lang") == F.col("__tess_lang"), "left")
+    mean = F.coalesce("__tess_mean", F.lit(whole[0]))
     score = F.exp((F.col("nll") + PRIOR * mean) / (F.col("n_scored") + PRIOR))
-    return met.withColumn("own", F.col("_lang").isNotNull()).withColumn("threshold", F.coalesce("_cut", F.lit(whole[1]))).withColumn("score", score).drop("_lang", "_mean", "_cut")
+    return met.withColumn("own", F.col("__tess_lang").isNotNull()).withColumn("threshold", F.coalesce("__tess_cut", F.lit(whole[1]))).withColumn("score", score).drop("__tess_lang", "__tess_mean", "__tess_cut")
 
 
 def judged(docs: DataFrame, labels: DataFrame, extra: tuple[str, ...] = (), quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_words, perplexity, score, threshold and kept of every row of docs (doc_id, text, lang, ...), and extra columns.
 
-    A document is rejected if its score is above its language's threshold; languages with fewer than LEAST_TRUSTED trusted
-    documents, null included, have the threshold of all together. A null or blank text has no perplexity and is kept, and
+    A document is rejected if its score is above its language's threshold, not if it is equal; languages with fewer than
+    LEAST_TRUSTED trusted documents, null included, have the threshold of all together. Texts of any length are scored whole. A null or blank text has no perplexity and is kept, and
     so is every row if nothing is trusted. Repeated rows are judged alike and all count; an empty table gives an empty
     result. labels: (doc_id, quality, toxic, ...); of several labels the worst counts, null is as 0.
     """
     scratch = Scratch(docs.sparkSession, "kneser")
     model = train(docs, labels, scratch)
     if model is None:
-        by_lang, whole = [], None
-        empty = docs.sparkSession.createDataFrame([], "gram string, p double, w double")
-        found = scores(docs, empty, 0.0, extra)
+        by_lang, whole = None, None
+        found = scores(docs, docs.sparkSession.createDataFrame([], "gram string, p double, w double"), 0.0, extra)
     else:
-        found = scratch.save(scores(docs, *model), "scores")
-        by_lang, whole = limits(found, labels, quantile)
-        found = scores(docs, *model, extra) if extra else found
+        found = scratch.save(scores(docs, *model, extra), "scores")  # every text is scored once
+        by_lang, whole = limits(found, labels, scratch, quantile)
+        scratch.drop("training", "grams", "counts", "outside", *(f"level{k}" for k in range(1, ORDER + 1)))
     out = docs_limits(found, by_lang, whole or (0.0, float("inf")))
     known = (F.col("n_scored") > 0) & F.lit(whole is not None)
     return out.select(
