@@ -1,7 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and selectivity are estimated on a sample, and the rules are ordered by rejection per cost. A document is
-rejected by the first rule that it fails; the others aren't tried. The order changes the cost, never the verdict.
+The base measures are part of the result and made for every text. The rules come after them: each rule's cost, given what
+the base has measured, and the texts that it rejects are estimated on a sample of those that pass the base. The order is
+built rule by rule: next comes the one that rejects most of the texts that get that far per second. A document is rejected
+by the first rule that it fails; the others aren't tried. The order changes the cost, never the verdict.
 """
 
 from __future__ import annotations
@@ -95,63 +97,94 @@ class Text:
         return max(seen.values(), default=0)
 
 
-#: name: what makes a text fail. Each is a rate, so it doesn't depend on length.
+    def after_base(self) -> Text:
+        """The text with the base measures alone, as it comes to the rules."""
+        made = Text(self.text)
+        made.__dict__.update({k: v for k, v in self.__dict__.items() if k in BASE})
+        return made
+
+
+#: What has been made of a text when the rules begin.
+BASE = ("words", "n_words", "word_chars", "n_symbols", "lines", "n_dup_lines", "n_repeat_words")
+
+
+def measured(text: str | None) -> tuple[Text, bool]:
+    """A text with its base measures, and whether it fails by them."""
+    t = Text(text)
+    for name in BASE:
+        getattr(t, name)
+    return t, t.n_words < 20 or 100 * t.n_repeat_words > 30 * t.n_words
+
+
+#: name: what makes a text fail that passed the base. Each is a rate, so it doesn't depend on length.
 RULES: dict[str, Callable[[Text], bool]] = {
-    "few_words": lambda t: t.n_words < 20,
     "symbols": lambda t: 10 * t.n_symbols > t.n_words,
     "word_length": lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words,
     "same_lines": lambda t: 2 * t.n_dup_lines > len(t.lines),
     "letterless_words": lambda t: 10 * t.letter_words < 7 * t.n_words,
     "capitals": lambda t: 2 * t.capitals[0] > t.capitals[1],
     "one_word": lambda t: 4 * t.top_word > t.n_words,
-    "repeats": lambda t: 100 * t.n_repeat_words > 30 * t.n_words,
 }
 
 
-def estimate(docs: DataFrame, rules: dict[str, Callable[[Text], bool]], sample: int) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) on about sample documents, those whose ids' hashes are least."""
-    rows = docs.count()
-    share = min(1.0, sample / max(rows, 1))
-    few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+def estimate(docs: DataFrame, rules: dict[str, Callable[[Text], bool]], sample: int) -> tuple[dict[str, float], dict[int, int]]:
+    """Seconds that each rule takes a text, and how many texts fail just the rules of a mask, of about sample rows that pass the base.
+
+    Rows are drawn one by one, whatever they hold, so that no repeated text or id fills the sample. What comes to the
+    driver is a row for each rule, and one for each mask, of which there are no more than rows in the sample.
+    """
+    few = docs.sample(min(1.0, sample / max(docs.count(), 1)), seed=7)
     names = list(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, failed, n = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0), 0
         for batch in batches:
+            rows = []
             for text in batch.column(0).to_pylist():
-                n += 1
-                for name in names:
-                    one, began = Text(text), time.perf_counter()
-                    failed[name] += bool(rules[name](one))
-                    spent[name] += time.perf_counter() - began
-        yield pa.record_batch([pa.array(names), pa.array([spent[k] for k in names]), pa.array([failed[k] for k in names], pa.int64()), pa.array([n] * len(names), pa.int64())], ["rule", "s", "failed", "n"])
-
-    stats = few.select(F.col("text").cast("string")).mapInArrow(run, "rule string, s double, failed bigint, n bigint")
-    found = {r["rule"]: r for r in stats.groupBy("rule").agg(F.sum("s").alias("s"), F.sum("failed").alias("failed"), F.sum("n").alias("n")).collect()}
-    return [(k, found[k]["s"] / max(found[k]["n"], 1), found[k]["failed"] / max(found[k]["n"], 1)) if k in found else (k, 0.0, 0.0) for k in names]
-
-
-def ordered(estimates: list[tuple[str, float, float]]) -> list[str]:
-    """The rules by rejection per cost, most first."""
-    return [k for k, s, _ in sorted(estimates, key=lambda x: (-x[2] / max(x[1], 1e-9), x[1], x[0]))]
+                t, failed = measured(text)
+                if failed:
+                    continue
+                mask, spent = 0, []
+                for k, name in enumerate(names):
+                    one, began = t.after_base(), time.perf_counter()
+                    mask |= bool(rules[name](one)) << k
+                    spent.append(time.perf_counter() - began)
+                rows.append((mask, spent))
+            cols = list(zip(*rows, strict=True)) if rows else [[], []]
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.float64()))], ["mask", "s"])
+
+    tried = few.select(F.col("text").cast("string")).mapInArrow(run, "mask bigint, s array<double>")
+    found = tried.groupBy("mask").agg(F.count("*").alias("n"), *(F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(len(names)))).collect()
+    n = max(sum(r["n"] for r in found), 1)
+    return {name: sum(r[f"s{k}"] for r in found) / n for k, name in enumerate(names)}, {r["mask"]: r["n"] for r in found}
+
+
+def ordered(seconds: dict[str, float], masks: dict[int, int]) -> list[str]:
+    """The rules, next always the one that rejects most per second of the texts that all before it passed; cheap ones first among those that reject none."""
+    names, order, left = list(seconds), [], dict(masks)
+    while len(order) < len(names):
+        rejects = {k: sum(n for mask, n in left.items() if mask >> k & 1) for k in range(len(names)) if names[k] not in order}
+        best = min(rejects, key=lambda k: (-rejects[k] / max(seconds[names[k]], 1e-9), seconds[names[k]], names[k]))
+        order.append(names[best])
+        left = {mask: n for mask, n in left.items() if not mask >> best & 1}
+    return order
 
 
 def judge(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = None, sample: int = 2_000) -> DataFrame:
     """The base measures, base_failed and kept of every row of docs (doc_id, text, ...).
 
     kept: neither the base verdict nor a rule of the cascade rejects the text. A null text has no words and fails; the
-    same text always gets the same verdict; an empty table gives an empty result. Other columns are not looked at.
+    same text always gets the same verdict, repeated rows and rows without an id each their own; texts are measured whole,
+    however long; an empty table gives an empty result. Other columns are not looked at.
     """
     rules = RULES if rules is None else rules
     bound_batches(docs.sparkSession)
-    order = ordered(estimate(docs, rules, sample))
+    order = ordered(*estimate(docs, rules, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                t = Text(text)
-                base = t.n_words < 20 or 100 * t.n_repeat_words > 30 * t.n_words
+                t, base = measured(text)
                 kept = not base and not any(rules[k](t) for k in order)
                 rows.append((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, base, kept))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7

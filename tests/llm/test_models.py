@@ -231,11 +231,21 @@ def test_rules(spark):
 
 
 def test_rules_are_ordered_by_rejection_per_cost(spark):
-    import time
-
     tried = {"slow": lambda t: time.sleep(0.002) or True, "quick": lambda t: True, "never": lambda t: False}
-    found = cascade.estimate(with_clash(spark, [(i, "a") for i in range(20)]), tried, 20)
-    assert cascade.ordered(found) == ["quick", "slow", "never"]
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = with_clash(spark, [(None, words) for _ in range(20)])
+    assert cascade.ordered(*cascade.estimate(docs, tried, 20)) == ["quick", "never", "slow"]  # nothing is left for the slow one
+    assert sum(cascade.estimate(docs.union(docs).union(docs), tried, 20)[1].values()) < 50  # rows without ids are drawn one by one
+
+
+def test_order_by_what_is_left():
+    """A rule that rejects much, but only what a cheaper one has rejected already, comes last."""
+    seconds, masks = {"cheap": 1.0, "same": 1.5, "rare": 4.0}, {0b000: 50, 0b011: 40, 0b100: 10}
+    assert cascade.ordered(seconds, masks) == ["cheap", "rare", "same"]
+    texts = {"a b " * 15: False, "word and more words that stand here in one line only once each so that nothing in it is ever said twice": True}
+    for text, fine in texts.items():
+        t, failed = cascade.measured(text)
+        assert failed != fine and set(t.after_base().__dict__) == {"text", *cascade.BASE}
 
 
 # Tokens
