@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Words of a shingle, and the retained fraction of the hash space as 1 / SCALE.
 WIDTH, SCALE = 5, 8
+#: Characters of a text that ranges may cut by.
+PREFIX = 64
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,39 +70,41 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def cuts_of(ids: DataFrame, parts: int) -> list:
-    """At most parts - 1 values of doc_id that cut it into ranges of about as many rows each."""
-    shares = [k / parts for k in range(1, parts)]
-    found = ids.agg(F.percentile_approx("doc_id", shares or [0.5], max(10_000, 20 * parts)).alias("q")).first()["q"] or []
-    return sorted(set(found[: len(shares)]))
+def cuts_of(keys: DataFrame, parts: int) -> list:
+    """At most parts - 1 values of k that cut the rows (k) into ranges of about as many each: of a sample of 100 rows a range, drawn one by one."""
+    rows = keys.count()
+    found = [r["k"] for r in keys.sample(min(1.0, 100 * parts / max(rows, 1)), seed=11).sort("k").collect()]
+    return list(dict.fromkeys(found[len(found) * j // parts] for j in range(1, parts) if found))
 
 
 def with_next(docs: DataFrame, value: Column, name: str) -> DataFrame:
-    """docs (doc_id, ...) with the value of the next row by (doc_id, text); the last row gets the first row's.
+    """docs (doc_id, text) with the value of the next row by (doc_id, text); the last row gets the first row's.
 
-    Rows are dealt out by ranges of doc_id, so no task sees more than its range. The first rows of each range are also
-    dealt to the range before it, where they only serve as the next of its last row. The cuts are as many as the shuffle
-    partitions; they and the least id of each range are all that reaches the driver.
+    Rows are dealt out by ranges of doc_id and the first PREFIX characters of text, a range to a task, so no task sees more
+    than its range, also if one id has very many texts. The first rows of each range are also dealt to the range before it,
+    where they only serve as the next of its last row. The ranges are as many as the shuffle partitions; their cuts, a
+    sample of ids that finds them, and the least row's id and prefix of each are all that reaches the driver.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = cuts_of(docs.select("doc_id"), parts)
-    place = F.lit(0)
-    if cuts:
-        place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))), F.lit(0))
-    first = F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id").alias("doc_id"))
-    heads = sorted((r["p"], r["head"]["doc_id"]) for r in docs.groupBy(place.alias("p")).agg(F.min(first).alias("head")).collect())
+    kind = docs.schema["doc_id"].dataType
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"), F.left("text", F.lit(PREFIX)).alias("prefix"))
+    known_as = lambda k: F.struct(F.lit(k["known"]).alias("known"), F.lit(k["doc_id"]).cast(kind).alias("doc_id"), F.lit(k["prefix"]).alias("prefix"))
+    cuts = cuts_of(docs.select(key.alias("k")), parts)
+    docs = docs.withColumn("_k", key)
+    place = F.size(F.filter(F.array(*map(known_as, cuts)), lambda c: c <= F.col("_k"))) if cuts else F.lit(0)
+    heads = sorted((r["p"], r["head"]) for r in docs.groupBy(place.alias("p")).agg(F.min("_k").alias("head")).collect())
     before = {p: heads[k - 1][0] for k, (p, _) in enumerate(heads)}
-    known = spark.createDataFrame([(p, least, before[p]) for p, least in heads], f"_hp int, _least {docs.schema['doc_id'].dataType.simpleString()}, _before int")
+    known = spark.createDataFrame([(p, least, before[p]) for p, least in heads], StructType([StructField("_hp", IntegerType()), StructField("_least", docs.schema["_k"].dataType), StructField("_before", IntegerType())]))
     placed = docs.withColumn("_p", place).join(F.broadcast(known), F.col("_p") == F.col("_hp"), "left")
-    placed = placed.withColumn("_to", F.when(F.col("doc_id").eqNullSafe(F.col("_least")), F.col("_before"))).drop("_hp", "_least", "_before")
+    placed = placed.withColumn("_to", F.when(F.col("_k") == F.col("_least"), F.col("_before"))).drop("_hp", "_least", "_before", "_k")
     spots = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("copy")))).otherwise(
         F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("copy")), F.struct(F.col("_to").alias("p"), F.lit(True).alias("copy")))
     )
-    dealt = placed.withColumn(name, value).withColumn("_at", F.explode(spots)).drop("_p", "_to")
-    order = Window.partitionBy("_at.p").orderBy("_at.copy", "doc_id", "text")
+    dealt = placed.withColumn(name, value).withColumn("_at", F.explode(spots)).drop("_p", "_to").withColumn("_part", F.col("_at.p")).repartitionById(parts, F.col("_part"))
+    order = Window.partitionBy("_part").orderBy("_at.copy", "doc_id", "text")
     dealt = dealt.withColumn("_next", F.lead(F.struct("text", name)).over(order)).filter("not _at.copy")
-    return dealt.withColumn("_next_text", F.col("_next.text")).withColumn(f"next_{name}", F.col(f"_next.{name}")).drop("_at", "_next")
+    return dealt.withColumn("_next_text", F.col("_next.text")).withColumn(f"next_{name}", F.col(f"_next.{name}")).drop("_at", "_next", "_part")
 
 
 def fingerprint(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -> DataFrame:
@@ -107,7 +112,8 @@ def fingerprint(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -> Data
 
     The edited text has its last floor(n / 2) code points replaced by the first as many (or all) of the next text, by
     ascending doc_id, after the last the first. near_edited and near_next are the containment of the text's sketch in the
-    edited text's and in the next text's; alike_edited and alike_next the resemblance. A null text counts as empty; rows
+    edited text's and in the next text's; alike_edited and alike_next the resemblance. Ids may be of any type that has an
+    order; texts of any length are taken whole. A null text counts as empty; rows
     under one doc_id follow each other by text, null ids come first; the only row of a table is its own next. An empty
     table gives an empty result. Other columns are not looked at.
     """
