@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches
@@ -36,6 +36,11 @@ K = 32
 #: Bytes of text whose windows are hashed at a time, and the distinct pieces of one block of the construction.
 CHUNK, BLOCK = 1 << 20, 1 << 15
 
+#: Windows of a piece and its anchor's offset are kept in 8 bits each.
+MOST = 255 + K - 1
+#: Bytes of a text whose runs are merged together first.
+STRETCH = 1 << 16
+
 _U = np.uint64
 
 
@@ -260,18 +265,30 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = BLOCK, scrat
     return found.unionByName(_spans(dealt, length, id_type))
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """The runs (doc_id, th, b, e) of each stretch of a text without those that touch; so a text's runs in a row are few for its length."""
+    rows = spans.withColumn("_at", F.floor(F.col("b") / STRETCH))
+    by = Window.partitionBy("doc_id", "th", "_at").orderBy("b", "e")
+    rows = rows.withColumn("_reach", F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_run", F.count_if(F.col("_reach").isNull() | (F.col("b") > F.col("_reach"))).over(by))
+    return rows.groupBy("doc_id", "th", "_at", "_run").agg(F.min("b").alias("b"), F.max("e").alias("e")).select("doc_id", "th", "b", "e")
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept of every row of docs (doc_id, text, ...).
 
     kept holds the remaining bytes. Strings are judged on the input; overlaps and repeats within a text count; matches
-    never cross texts. A null text counts as empty. Rows that repeat are texts of their own, so each is a repeat of the
+    never cross texts. length: from 64 to 286 bytes. A null text counts as empty, an empty table gives an empty result, a very
+    long text is cut into pieces like any other. Rows that repeat are texts of their own, so each is a repeat of the
     other; so are several texts under one doc_id, null included. Other columns are not looked at.
     """
+    if not 2 * K <= length <= MOST:
+        raise ValueError(f"a length from {2 * K} to {MOST} bytes")
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("text").cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = repeated_spans(docs, length, block, scratch).groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+    spans = _merged(repeated_spans(docs, length, block, scratch)).groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("b", "e")).alias("spans"))  # no two of a stretch touch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
