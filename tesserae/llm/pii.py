@@ -1,7 +1,9 @@
 """Personal data: surrogates by a key, consistent in type, gender, script and format.
 
 Every entity has a canonical form (a phone number's digits, a lower-cased address, each part of a name by itself), so all
-mentions of it get one surrogate. A surrogate is drawn from an HMAC of kind, canonical form and attempt, and laid into the
+mentions of it get one surrogate. Names are found by titles, given names, words that introduce a person and, in Chinese,
+family names with a form of address; once found, their parts are found again wherever the text has them, alone or not.
+A given name's gender is its own, not its title's, so that a person has one surrogate under any title. A surrogate is drawn from an HMAC of kind, canonical form and attempt, and laid into the
 format of each mention. The entities of the whole corpus are checked for collisions: of those that draw one surrogate, or
 a surrogate that is itself someone's, all but the least draw again, until none are left. Only entities that drew again
 need a table; they are few, and are joined where they are not.
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,18 +25,20 @@ from .common import Scratch, bound_batches
 
 #: Entities that drew again go to the workers as a table up to so many, and by a join beyond it.
 MOST_SENT = 100_000
-#: Draws of one entity. Later ones leave its format, so only a corpus with most of all cards, numbers or addresses there are needs more.
-MOST_DRAWS = 64
-
 # Honorifics by gender, and given names that tell an untitled person's name.
-MALE = "Mr Herr Herrn Monsieur Señor Sr Signor Don Г-н Господин".split()
-FEMALE = "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Srta Signora Г-жа Госпожа".split()
+MALE = "Mr Herr Herrn Monsieur Señor Sr Signor Don Г-н Господин Κύριος Κος".split()
+FEMALE = "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Srta Signora Г-жа Госпожа Κυρία Κα".split()
 NEUTRAL = "Dr Prof".split()
-DOTTED = "Mr Mrs Ms Sr Sra Srta Mme Mlle Dr Prof".split()  # abbreviations; after the others a full stop ends a sentence
+DOTTED = "Mr Mrs Ms Sr Sra Srta Mme Mlle Dr Prof Κος Κα".split()  # abbreviations; after the others a full stop ends a sentence
 MALE_NAMES = "James John Robert Michael William David Thomas Hans Peter Klaus Stefan Pierre Jean Louis Carlos José Juan Miguel Иван Сергей Дмитрий".split()
 FEMALE_NAMES = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Anna Petra Sabine Ursula Marie Sophie Claire María Carmen Lucía Ольга Анна Елена".split()
 
-_PART = r"[^\W\d_a-zà-ÿа-я][^\W\d_A-ZÀ-ÞА-Я]+(?:[-'’][^\W\d_]+)?"
+# Words that introduce a person's full name, and Chinese family names and forms of address.
+CUES = "Contact Kontakt Contacto Ansprechpartner Ansprechpartnerin Attn Dear Liebe Lieber Cher Chère Estimado Estimada Sincerely Regards Signed Author Autor Autorin Auteur Name Nombre Nom".split()
+FAMILY_HAN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
+ADDRESS_HAN = "先生 女士 小姐 博士 教授 同志 老师".split()
+
+_PART = r"[^\W\d_a-zà-ÿа-яα-ωά-ώ][^\W\d_A-ZÀ-ÞА-ЯΑ-Ω]+(?:[-'’][^\W\d_]+)?"
 _TITLES = "|".join(map(re.escape, sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)))
 _GIVEN = "|".join(MALE_NAMES + FEMALE_NAMES)
 PATTERNS: list[tuple[str, re.Pattern]] = [
@@ -46,16 +51,27 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
     ("PHONE", re.compile(r"(?<![\w.+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)")),
 ]
 NAMES = re.compile(rf"\b(?:(?P<title>{_TITLES})\b(?P<stop>\.?)(?: +(?:Dr|Prof)\b\.?)* +(?P<titled>{_PART}(?: {_PART}){{0,2}})|(?P<given>{_GIVEN}) (?P<family>{_PART}))")
+INTRODUCED = re.compile(rf"\b(?:{'|'.join(CUES)})\b[.,:]? +(?P<first>{_PART} {_PART}(?: {_PART})?)(?P<more>(?:(?:,| or| and| und| oder| y| o| et| ou) {_PART} {_PART})*)")
+HAN = re.compile(rf"(?P<family>[{FAMILY_HAN}])(?P<given>[\u4e00-\u9fff]{{1,2}}?)(?:{'|'.join(ADDRESS_HAN)})|(?:姓名|联系人|作者)[:：] ?(?P<family2>[{FAMILY_HAN}])(?P<given2>[\u4e00-\u9fff]{{1,2}})(?![\u4e00-\u9fff])")
+_JOINED = re.compile(r"(?:,| or| and| und| oder| y| o| et| ou) ")
 _HINT = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|key)")
 _WORDS = re.compile(r"[^ ]+")
+_CUE, _HAN = re.compile("|".join(CUES)), re.compile("[\u4e00-\u9fff]")
+_CAPITAL = re.compile(rf"\b{_PART}\b")
+_MALE_LOW, _FEMALE_LOW = {n.lower() for n in MALE_NAMES}, {n.lower() for n in FEMALE_NAMES}
+# Names that are words too; they are found again only where they were found first.
+_COMMON = frozenset("may will mark rose grace hope bill rich young long best wolf klein groß lang kurz blanc petit grand".split())
 
 _VOWELS = "aeiou"
 _CONSONANTS = "bcdfghjklmnpqrstvwxyz"
 #: Letters of a script that stand for each other, lower case.
 POOLS = ["àáâäèéêëìíîïòóôöùúûüæœ", "çñßšž", "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+#: Characters of drawn Chinese given names.
+GIVEN_HAN = "安博晨达恩凡光浩佳凯兰朗立明宁平琪然瑞思涛婷维文晓欣雅颖宇泽哲子"
 #: Syllables of drawn names by script: starts, middles, and the ends of a woman's, a man's and a family name.
 SYLLABLES = {
     "latin": ("Al Be Ca Da El Fa Ga He Is Jo Ka Le Ma Ne Or Pa Ro Sa Te Ve".split(), "ba bri co da do fe go la li lo ma mi na no ra ri ro sa ti vo".split(), {"f": "lia nia ra sa tta".split(), "m": "bert dor lan mir ton".split(), "n": "len ris rin vel yn".split(), "s": "berg dorf field mann nova sen ski ton vale wick".split()}),
+    "greek": ("Αλ Βα Γε Δη Ελ Θε Κα Λε Μα Νι Πε Σα Τα".split(), "βα δι κα λι μα νι ρο τα".split(), {"f": "λια να ρα σα".split(), "m": "νος ρος της λας".split(), "n": "λι ρι νο".split(), "s": "κης πουλος ιδης ακος".split()}),
     "cyrillic": ("Ал Бо Ва Га Да Зо Ки Ла Ма Ни Ра Са Та".split(), "ва ди ка ла ли ми на ри ро та".split(), {"f": "лия на ра са".split(), "m": "дор мир слав тон".split(), "n": "лен рин".split(), "s": "ев ин ов ский".split()}),
 }
 
@@ -97,29 +113,66 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 if 1 not in taken[a:b]:
                     found.append((a, b, kind, canon))
                     taken[a:b] = b"\1" * (b - a)
+    names: dict[str, str] = {}  # a part's kind
+
+    def named(spans: list[tuple[int, int]], gender: str) -> None:
+        if not spans or any(1 in taken[a:b] for a, b in spans):
+            return
+        for k, (a, b) in enumerate(spans):
+            part = text[a:b].lower()
+            kind = _kind(part, k < len(spans) - 1, gender)
+            found.append((a, b, kind, part))
+            taken[a:b] = b"\1" * (b - a)
+            names.setdefault(text[a:b], kind)
+
+    def words(at: int, shown: str) -> list[tuple[int, int]]:
+        return [(at + w.start(), at + w.end()) for w in _WORDS.finditer(shown)]
+
     for m in NAMES.finditer(text):
-        group = "titled" if m["titled"] else "given"
         if m["titled"]:
-            if m["stop"] and m["title"] not in DOTTED:
-                continue
-            gender = "m" if m["title"] in MALE else "f" if m["title"] in FEMALE else "n"
-            parts = [(m.start("titled") + w.start(), m.start("titled") + w.end()) for w in _WORDS.finditer(m["titled"])]
+            if not m["stop"] or m["title"] in DOTTED:
+                named(words(m.start("titled"), m["titled"]), "n")
         else:
-            gender = "m" if m["given"] in MALE_NAMES else "f"
-            parts = [m.span("given"), m.span("family")]
-        if 1 in taken[m.start(group) : m.end()]:
-            continue
-        for k, (a, b) in enumerate(parts):
-            first = k < len(parts) - 1
-            if first and gender == "n":
-                known = text[a:b]
-                own = "m" if known in MALE_NAMES else "f" if known in FEMALE_NAMES else "n"
-            else:
-                own = gender
-            found.append((a, b, f"NAME_{own.upper()}" if first else "NAME_S", text[a:b].lower()))
+            named([m.span("given"), m.span("family")], "n")
+    if _CUE.search(text):
+        for m in INTRODUCED.finditer(text):
+            named(words(m.start("first"), m["first"]), "n")
+            at = m.start("more")
+            for shown in _JOINED.split(m["more"])[1:]:
+                at = text.index(shown, at)
+                named(words(at, shown), "n")
+                at += len(shown)
+    if _HAN.search(text):
+        for m in HAN.finditer(text):
+            given, family = ("given", "family") if m["family"] else ("given2", "family2")
+            if 1 not in taken[m.start(family) : m.end(given)]:
+                found.append((*m.span(family), "NAME_S", m[family]))
+                found.append((*m.span(given), "NAME_N", m[given]))
+                taken[m.start(family) : m.end(given)] = b"\1" * (m.end(given) - m.start(family))
+                names.setdefault(m[family] + m[given], "")
+    if names:  # later mentions, and those before: the parts wherever they stand as words
+        han = [n for n, kind in names.items() if not kind]
+        again = [n for n, kind in names.items() if kind and n.lower() not in _COMMON]
+        if han:
+            for m in re.finditer("|".join(map(re.escape, sorted(han, key=len, reverse=True))), text):
+                if 1 not in taken[m.start() : m.end()]:
+                    found += [(m.start(), m.start() + 1, "NAME_S", m[0][0]), (m.start() + 1, m.end(), "NAME_N", m[0][1:])]
+                    taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        known = set(again)
+        if known:
+            for m in _CAPITAL.finditer(text):
+                if m[0] in known and 1 not in taken[m.start() : m.end()]:
+                    found.append((m.start(), m.end(), names[m[0]], m[0].lower()))
+                    taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
     return sorted(found)
 
 
+def _kind(part: str, given: bool, gender: str) -> str:
+    if not given:
+        return "NAME_S"
+    return "NAME_M" if part in _MALE_LOW else "NAME_F" if part in _FEMALE_LOW else f"NAME_{gender.upper()}"
+
+
 class _Draws:
     """Numbers from an HMAC, as many as are asked for."""
 
@@ -164,6 +217,8 @@ def draw(kind: str, canon: str, attempt: int, key: bytes) -> str:
         return f"{_same_classes(local, d)}{_more(wider, d)}@{_same_classes(name, d)}.{top}"
     if kind == "IP":
         octets = canon.split(".")
+        if wider > 8:  # the corpus has most of all addresses: one of the longer kind
+            return ":".join(["2001", "db8", *(f"{d.below(65536):x}" for _ in range(6))])
         keep = 2 if octets[:2] == ["192", "168"] else 1 if octets[0] in ("10", "127") else 0
         if wider:  # any width; then any private address, and at last any
             given = octets[:keep] if wider == 1 or not keep else ["10"] if wider < 4 else []
@@ -171,14 +226,14 @@ def draw(kind: str, canon: str, attempt: int, key: bytes) -> str:
         low = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
         return ".".join(o if k < keep else str(low[len(o)][0] + d.below(low[len(o)][1] - low[len(o)][0] + 1)) for k, o in enumerate(octets))
     if kind == "CARD":
-        body = canon[0] + "".join(d.pick("0123456789") for _ in canon[1:-1])
+        body = canon[0] + "".join(d.pick("0123456789") for _ in canon[1:-1]) + "".join(d.pick("0123456789") for _ in range(max(0, wider - 8)))
         right = next(c for c in "0123456789" if luhn(body + c))
         return body + (right if luhn(canon) else str((int(right) + 1 + d.below(9)) % 10))
     if kind in ("PHONE", "SSN"):
         keep = max(0, len(canon) - 10) if kind == "PHONE" else 0  # the country's digits
         drawn = "".join(d.pick("0123456789") for _ in canon[keep:])
         if wider:  # any first digit, and then longer numbers
-            return canon[:keep] + drawn + "".join(d.pick("0123456789") for _ in range(min(wider - 1, 15 - len(canon)) if kind == "PHONE" else 0))
+            return canon[:keep] + drawn + "".join(d.pick("0123456789") for _ in range(max(0, wider - 1 if kind == "PHONE" else wider - 8)))
         return canon[:keep] + (str(2 + d.below(8)) + drawn[1:] if canon[keep : keep + 1] not in ("", "0") else "0" + drawn[1:])
     if kind == "IBAN":
         rest = "".join(d.pick("0123456789") if c.isdigit() and not wider else d.pick("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") if wider else d.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in canon[4:])
@@ -189,7 +244,9 @@ def draw(kind: str, canon: str, attempt: int, key: bytes) -> str:
         head = re.match(r"AKIA|gh[pousr]_|sk-|xox[abprs]-", canon)
         k = head.end() if head else 0
         return canon[:k] + _same_classes(canon[k:], d) + _more(wider, d)
-    starts, middles, ends = SYLLABLES["cyrillic" if re.search("[а-яё]", canon) else "latin"]
+    if _HAN.search(canon):
+        return d.pick(FAMILY_HAN) + (d.pick(GIVEN_HAN) * bool(wider)) if kind == "NAME_S" else "".join(d.pick(GIVEN_HAN) for _ in range(len(canon) + wider))
+    starts, middles, ends = SYLLABLES["cyrillic" if re.search("[а-яё]", canon) else "greek" if re.search("[α-ωά-ώ]", canon) else "latin"]
     middle = "".join(d.pick(middles) for _ in range(1 + d.below(2) + wider))
     return (d.pick(starts) + middle + d.pick(ends[kind[-1].lower()])).lower()
 
@@ -228,10 +285,11 @@ def redrawn(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
 
     drawn = lambda df: df.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, surrogate string")
     now = scratch.save(drawn(found.withColumn("attempt", F.lit(0))), "draws0")
-    for k in range(1, MOST_DRAWS):
-        held = now.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("canon").alias("keeper")).filter("n > 1")
-        twice = now.join(held, ["kind", "surrogate"]).filter("canon <> keeper").select("kind", "canon")
-        someones = now.join(now.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"]).select("kind", "canon")
+    for k in itertools.count(1):  # each draw has more values than those before it
+        classed = now.withColumn("class", F.when(F.startswith("kind", F.lit("NAME")), "NAME").otherwise(F.col("kind")))
+        held = classed.groupBy("class", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("kind", "canon")).alias("keeper")).filter("n > 1")
+        twice = classed.join(held, ["class", "surrogate"]).filter(F.struct("kind", "canon") != F.col("keeper")).select("kind", "canon")
+        someones = classed.join(classed.select("class", F.col("canon").alias("surrogate")).distinct(), ["class", "surrogate"]).select("kind", "canon")
         again = scratch.save(twice.unionByName(someones).distinct(), f"again{k}")
         if again.isEmpty():
             return now.filter("attempt > 0").select("kind", "canon", "attempt")
@@ -239,7 +297,6 @@ def redrawn(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
         kept = marked.filter("hit is null").select("kind", "canon", "attempt", "surrogate")
         now = scratch.save(kept.unionByName(drawn(marked.filter("hit = 1").withColumn("attempt", F.col("attempt") + 1))), f"draws{k}")
         scratch.drop(f"draws{k - 1}")
-    raise ValueError("more entities of a kind than it has values in any format")
 
 
 def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:
@@ -255,7 +312,8 @@ def pseudonymise(docs: DataFrame, key: bytes, most_sent: int = MOST_SENT) -> Dat
     """docs with surrogates in text, n_entities (mentions replaced) behind the other columns.
 
     Equal entities get equal surrogates across all rows, different ones of a kind different ones, none of them a value
-    that the corpus has of that kind. Texts without entities are unchanged; a null text stays null; repeated rows stay
+    that the corpus has of that kind; names also differ across their kinds. A text of any length is read whole. Texts
+    without entities are unchanged; a null text stays null; repeated rows stay
     alike; an empty table gives an empty result. Columns called n_entities are replaced, others are kept; names that
     begin with __tess are the operator's own.
     """
