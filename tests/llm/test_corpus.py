@@ -77,6 +77,34 @@ def test_records_as_bytes(spark):
         assert base64.b64decode(head["WARC-Refers-To-HTTP-Headers"]).decode() == r.source_headers
 
 
+def test_links_against_the_base():
+    _, facts = warc.convert('<head><base href="/deep/"></head><a href="x">1</a><a href="x#top">2</a><a href="/deep/x">3</a><a href="http://[bad">4</a>')
+    assert [x for x in warc.metadata(facts, "http://a.org/p", "").split("\r\n") if x.startswith("outlink")] == ["outlink: http://a.org/deep/x", "outlink: http://[bad"]
+
+
+def test_responses_of_files(spark, tmp_path):
+    """Responses in chunks, compressed and in other charsets, from files of gzip members; derived records refer to them."""
+
+    def record(kind, rid, block, more=""):
+        return gzip.compress(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{rid}>\r\nWARC-Target-URI: http://a.org/{rid}\r\nWARC-Date: 2024-05-01T00:00:00Z\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    page, packed = "<title>é</title><p>Größe", gzip.compress("<p>zip".encode(), mtime=0)
+    blocks = {
+        "1": b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n" + page.encode("latin-1"),
+        "2": b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + b"%x\r\n" % 9 + packed[:9] + b"\r\n%x;x=1\r\n" % (len(packed) - 9) + packed[9:] + b"\r\n0\r\n\r\n",
+        "3": "HTTP/1.1 200 OK\r\n\r\n<meta charset='windows-1252'><p>€".encode("cp1252"),
+    }
+    data = record("warcinfo", "0", b"x") + b"".join(record("response", k, b, "WARC-Payload-Digest: sha1:GIVEN\r\n" if k == "3" else "") for k, b in blocks.items())
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    source = warc.read(spark, str(tmp_path))
+    assert {r.page_id[-2]: r.payload for r in source.collect()} == {"1": page, "2": "<p>zip", "3": "<meta charset='windows-1252'><p>€"}
+    rows = {(r.refers_to, r.record_type): r for r in warc.derive(source).collect()}
+    assert len(rows) == 6 and rows["<urn:uuid:3>", "conversion"].source_payload_digest == "sha1:GIVEN"
+    assert rows["<urn:uuid:2>", "conversion"].source_payload_digest == warc.digest(packed) and rows["<urn:uuid:1>", "conversion"].block == "Größe"
+    head = next(warc.parse(warc.serialise(rows["<urn:uuid:1>", "metadata"])))[0]
+    assert head["WARC-Refers-To-Target-URI"] == "http://a.org/1" and head["WARC-Refers-To-Date"] == "2024-05-01T00:00:00Z"
+
+
 def test_no_pages(spark):
     assert warc.derive(warc.responses(spark.read.parquet(f"{SF}/pages.parquet").limit(0), "d")).collect() == []
 
@@ -263,10 +291,23 @@ def plain_pipeline(spark):
 
 
 def test_pipeline(spark):
+    spark.conf.set(queries.KEY, "surrogates of the test tables")
     got = Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == plain_pipeline(spark)
 
 
+def test_pipeline_odd(spark):
+    """Nulls in all columns, repeated rows, blank and very long texts, and empty tables, through every stage."""
+    odd = [(None, None, None, None, None), (1, "", "en", "src0", 0), (1, "a text that stands here twice and is kept once by the stage for copies", "en", "src0", 70), (1, "a text that stands here twice and is kept once by the stage for copies", "en", "src0", 70), (2, " \n", None, "src1", 2), (3, "long " * 60_000, "xx", None, None)]
+    docs = spark.createDataFrame(odd, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for rows in (docs, docs.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            rows = stage(spark, rows, SF)
+            assert k == len(corpus_pipeline.STAGES) - 1 or rows.columns == docs.columns
+        found = rows.collect()
+    assert found == []
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

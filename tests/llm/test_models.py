@@ -131,6 +131,40 @@ def test_kinds():
     assert pii.detect("Apache License, Version 2.0. See 10.5 and 1.2.3.4.5 in 2024-01-01.") == []
 
 
+def test_surrogates_of_planted_people(spark):
+    """Texts with people at known places, held against the result alone: nobody is left, all of one person agree, others differ, scripts stay."""
+    texts = {
+        1: "Contact Priya Sharma or Wei Zhang before noon. Ask Sharma first; Zhang is away.",
+        2: "Dr. Maria Lopez wrote. Maria Lopez signed. Lopez agreed.",
+        3: "Dr Alex Doe called.",
+        4: "Mr Alex Doe called.",
+        5: "Κος Παπαδόπουλος and again Παπαδόπουλος.",
+        6: "王小明先生 came; 王小明 left.",
+        7: "Dear Priya Sharma, hello.",
+        8: "The contract and the Contact page name nobody at all.",
+    }
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), b"key").collect()}
+    for word in "Priya Sharma Wei Zhang Maria Lopez Alex Doe Παπαδόπουλος 王小明".split():
+        assert not any(word in t for t in got.values()), word
+    one = re.fullmatch(r"Contact (\w+) (\w+) or (\w+) (\w+) before noon\. Ask (\w+) first; (\w+) is away\.", got[1]).groups()
+    assert one[1] == one[4] and one[3] == one[5] and len(set(one)) == 4
+    two = re.fullmatch(r"Dr\. (\w+) (\w+) wrote\. (\w+) (\w+) signed\. (\w+) agreed\.", got[2]).groups()
+    assert two[:2] == two[2:4] and two[1] == two[4]
+    assert got[3].split()[1:] == got[4].split()[1:]
+    assert len(set(re.findall("[Α-Ωα-ωά-ώ]+", got[5].split(" ", 1)[1]))) == 1
+    han = re.findall("[\u4e00-\u9fff]{2,4}", got[6].replace("先生", " "))
+    assert len(han) == 2 and han[0] == han[1]
+    assert got[7] == f"Dear {one[0]} {one[1]}, hello." and got[8] == texts[8]
+
+
+def test_full_spaces_end(spark):
+    """All hosts of a network and many short addresses: every one gets a surrogate of its own."""
+    own = [f"192.168.{a}.{b}" for a in range(10) for b in range(10)] + [f"{a}@{b}.co" for a in "aeioubcdfgh" for b in "aeioubcdfgh"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(i, f"at {x} now") for i, x in enumerate(own)], "doc_id bigint, text string"), b"key").collect()]
+    drawn = [t.split(" ")[1] for t in got]
+    assert len(set(drawn)) == len(own) and not set(drawn) & set(own)
+
+
 def test_entities_of_a_very_long_text_take_linear_time():
     line, n, began = "Mr Hans Bergmann wrote to a.b@c.org from 192.168.1.20. ", 20_000, time.time()
     assert len(pii.detect(line * n)) == n * len(pii.detect(line))
@@ -303,6 +337,35 @@ def test_encode_and_decode_tables(spark, model):
     assert piece.encode(docs.limit(0), model).collect() == []
 
 
+def a_model(pieces, normaliser=b""):
+    """A unigram model's file: (piece, score, type) of each id."""
+    import struct
+
+    field = lambda n, data: bytes([n << 3 | 2, len(data)]) + data
+    body = b"".join(field(1, field(1, p.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", s) + bytes([3 << 3, k])) for p, s, k in pieces)
+    return body + field(2, bytes([3 << 3, 1])) + (field(3, normaliser) if normaliser else b"")
+
+
+def test_user_defined_pieces_and_settings():
+    pieces = [("<unk>", 0.0, 2), ("<sep>", 0.0, 4), ("<sep><sep>", 0.0, 4), ("▁", -2.0, 1), ("a", -1.0, 1), ("ab", -1.2, 1), ("<", -9.0, 1), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    codec = piece.Codec(a_model(pieces))
+    assert [codec.pieces[i] for i in codec.encode("ab<sep><sep><sep>a")] == ["▁", "ab", "<sep><sep>", "<sep>", "a"]
+    for t in ("<sep>", "a <sep> ab", "▁<sep>▁", "a<se", "é<sep>"):
+        assert codec.decode(codec.encode(t)) == t
+    bare = piece.Codec(a_model(pieces, bytes([3 << 3, 0])))
+    assert [bare.pieces[i] for i in bare.encode("ab a")] == ["ab", "▁", "a"] and bare.decode(bare.encode(" ab")) == " ab"
+    with pytest.raises(ValueError):
+        piece.Codec(a_model(pieces, bytes([2 << 3 | 2, 1, 65])))
+
+
+def test_a_very_long_word(model, monkeypatch):
+    codec, text = piece.Codec(model), "漢字かな" * 5_000
+    ids = codec.encode(text)
+    assert codec.decode(ids) == text
+    monkeypatch.setattr(piece, "LONG", 10**9)
+    assert piece.Codec(model).encode(text) == ids
+
+
 def test_cache_may_overflow(model, monkeypatch):
     monkeypatch.setattr(piece, "CACHE", 3)
     codec = piece.Codec(model)
