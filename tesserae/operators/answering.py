@@ -136,12 +136,17 @@ def tool_calls(messages: DataFrame, role: str = "assistant") -> DataFrame:
     return messages.groupBy("conv_id").agg(calls.alias("calls")).withColumn("go_on", F.col("calls") < MAX_TOOL_CALLS)
 
 
-def appended(log: DataFrame, new: DataFrame) -> DataFrame:
-    """A message log (conv_id, turn, role, text) with new messages (conv_id, ord, role, text) after each thread's last turn."""
+def following(log: DataFrame, new: DataFrame) -> DataFrame:
+    """New messages (conv_id, ord, role, text) as rows of a log (conv_id, turn, role, text), after each thread's last turn."""
     last = log.groupBy("conv_id").agg(F.max("turn").alias("_last"))
     order = Window.partitionBy("conv_id").orderBy("ord")
     more = new.join(last, "conv_id", "left").withColumn("turn", F.coalesce("_last", F.lit(-1)) + F.row_number().over(order))
-    return log.unionByName(more.select(*log.columns))
+    return more.select(*log.columns)
+
+
+def appended(log: DataFrame, new: DataFrame) -> DataFrame:
+    """A message log with new messages after each thread's last turn."""
+    return log.unionByName(following(log, new))
 
 
 def cited(messages: DataFrame, most: int = MAX_SOURCES) -> DataFrame:

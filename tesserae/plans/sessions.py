@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text
 from ..operators import answering, store
+from . import fixtures
 
 LOG = logging.getLogger(__name__)
 MESSAGES = "conv_id string, turn bigint, role string, text string, tool_calls int"
@@ -42,7 +44,10 @@ def command(line: str, thread: str) -> tuple[str, str]:
 
 
 class Threads:
-    """The messages of all threads: in memory, or as a table by bucket of the thread that outlives the session."""
+    """The messages of all threads: as written steps that go with the session ("memory"), or as a table by bucket of the thread that outlives it.
+
+    No message passes through the driver. A step is written once, in the folder that all executors share, and read from there.
+    """
 
     def __init__(self, spark: SparkSession, kind: str = "memory", path: str | None = None, buckets: int = 64):
         if kind not in ("memory", "table"):
@@ -55,7 +60,7 @@ class Threads:
             except Exception as e:  # the store can't be used: the session goes on without it
                 LOG.warning("threads are kept in memory: %s", e)
                 self.path = None
-        self._held = spark.createDataFrame([], MESSAGES)
+        self._root, self._steps = None, []
 
     @property
     def kind(self) -> str:
@@ -63,18 +68,24 @@ class Threads:
 
     def log(self) -> DataFrame:
         """All messages (conv_id, turn, role, text, tool_calls)."""
-        return self._held if self.path is None else self.spark.read.schema(f"{MESSAGES}, bucket int").parquet(self.path).drop("bucket")
-
-    def append(self, new: DataFrame) -> None:
-        """Puts new messages (conv_id, ord, role, text, tool_calls) behind their threads' last turns."""
-        more = answering.appended(self.log(), new).join(new.select("conv_id").distinct(), "conv_id", "left_semi")
-        before = self.log().select("conv_id", "turn")
-        more = more.join(before, ["conv_id", "turn"], "left_anti").select(*self.log().columns)
-        rows = self.spark.createDataFrame(more.toArrow(), MESSAGES)  # one step's messages: they must not move when the table grows
-        if self.path is None:
-            self._held = self._held.unionByName(rows)
-        else:
-            rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(self.buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(self.path)
+        if self.path is not None:
+            return self.spark.read.schema(f"{MESSAGES}, bucket int").parquet(self.path).drop("bucket")
+        return self.spark.read.schema(MESSAGES).parquet(*self._steps) if self._steps else self.spark.createDataFrame([], MESSAGES)
+
+    def append(self, new: DataFrame) -> DataFrame:
+        """Puts new messages (conv_id, ord, role, text, tool_calls) behind their threads' last turns; the rows as they were written."""
+        if self._root is None:
+            self._root = fixtures.folder(self.spark)
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self._root)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+        step = f"{self._root}/{len(self._steps)}"
+        answering.following(self.log(), new.filter("conv_id IS NOT NULL")).to(StructType.fromDDL(MESSAGES)).write.parquet(step)
+        self._steps.append(step)
+        rows = self.spark.read.schema(MESSAGES).parquet(step)  # one step's messages: they don't move when the table grows
+        if self.path is not None:
+            bucket = F.pmod(F.xxhash64("conv_id"), F.lit(self.buckets)).cast("int")
+            rows.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(self.path)
+        return rows
 
 
 def converse(threads: Threads, asked: DataFrame, model: Callable[[DataFrame], DataFrame], tools: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -85,20 +96,16 @@ def converse(threads: Threads, asked: DataFrame, model: Callable[[DataFrame], Da
     Every step is appended to the threads, so a session that breaks off goes on from what was said.
     """
     say = lambda df, role: df.select("conv_id", F.lit(0).alias("ord"), F.lit(role).alias("role"), "text", (F.col("tool_calls") if "tool_calls" in df.columns else F.lit(0)).cast("int").alias("tool_calls"))
-    live = asked.select("conv_id").distinct()
-    threads.append(say(asked, "user"))
+    live = threads.append(say(asked, "user"))
     for _ in range(answering.MAX_TOOL_CALLS + 1):
-        said = threads.spark.createDataFrame(model(threads.log().join(live, "conv_id", "left_semi")).select("conv_id", "text", F.col("tool_calls").cast("int")).toArrow())
-        threads.append(say(said, "assistant"))
+        said = threads.append(say(model(threads.log().join(live.select("conv_id").distinct(), "conv_id", "left_semi")), "assistant"))
         question = threads.log().filter("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("_since"))
         since = threads.log().join(question, "conv_id").filter("turn > _since")  # a question's own calls alone
         go_on = answering.tool_calls(since).filter("go_on").select("conv_id")
         calling = said.filter("tool_calls > 0").join(go_on, "conv_id", "left_semi")
         if calling.isEmpty():
             break
-        found = threads.spark.createDataFrame(tools(calling.select("conv_id", "text")).select("conv_id", "text").toArrow())
-        threads.append(say(found, "tool"))
-        live = found.select("conv_id")
+        live = threads.append(say(tools(calling.select("conv_id", "text")).select("conv_id", "text"), "tool"))
     last = threads.log().filter("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"))
     return asked.select("conv_id").distinct().join(last, "conv_id")
 

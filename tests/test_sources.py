@@ -161,6 +161,35 @@ def test_threads_outlive_a_session(spark, tmp_path):
         sessions.Threads(spark, "other")
 
 
+@pytest.mark.parametrize("kind", ["memory", "table"])
+def test_threads_keep_messages_off_the_driver(spark, tmp_path, monkeypatch, kind):
+    """Three threads that call a tool 0, 1 and 2 times, with nothing fetched or sent by the driver; the model runs once a step."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def once(x):
+        runs.add(1)
+        return x
+
+    counted = F.udf(once, "string").asNondeterministic()
+
+    def model(log):
+        said = log.groupBy("conv_id").agg(F.count_if(F.col("role") == "tool").alias("n"))
+        return said.select("conv_id", counted(F.concat(F.lit("after "), F.col("n").cast("string"))).alias("text"), (F.col("n") < F.col("conv_id").cast("int")).cast("int").alias("tool_calls"))
+
+    def refused(self, *args, **kwargs):
+        raise AssertionError("messages at the driver")
+
+    asked = spark.createDataFrame([(str(k), "why?") for k in range(3)], "conv_id string, text string")
+    threads = sessions.Threads(spark, kind, str(tmp_path / "threads"))
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(type(asked), name, refused)
+    made = sessions.converse(threads, asked, model, lambda calls: calls)
+    monkeypatch.undo()
+    assert {r.conv_id: r.answer for r in made.collect()} == {"0": "after 0", "1": "after 1", "2": "after 2"}
+    assert runs.value == 3 + 2 + 1 and threads.log().count() == 3 + 6 + 3
+    assert [(r.turn, r.role, r.text) for r in threads.log().filter("conv_id = '1'").orderBy("turn").collect()] == [(0, "user", "why?"), (1, "assistant", "after 0"), (2, "tool", "after 0"), (3, "assistant", "after 1")]
+
+
 def test_commands():
     assert sessions.command(" ", "t") == ("skip", "t") and sessions.command("Quit", "t") == ("leave", "t") and sessions.command("why?", "t") == ("ask", "t")
     kind, thread = sessions.command("/new", "t")
