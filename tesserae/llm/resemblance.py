@@ -1,10 +1,11 @@
-"""Groups of near copies by the resemblance (Jaccard) of their texts' sets of shingles, by deletion-variant signatures.
+"""Groups of near copies by the resemblance (Jaccard) of their texts' sets of shingles: SimHash links, then a wider signature.
 
-At a resemblance of 0.8 the 64 bits of a SimHash differ in about ten places, more than any cut into segments that are still
-selective can bridge (the README has figures). So the signature has SLOTS MinHash values in the bits' place, of which two
-texts share each with a chance of their resemblance; the method stays: the signature is cut into few segments, so that one
-of them differs in at most one slot; each segment's variants, one slot left out, are index keys; equal keys give candidates,
-and every link is verified on the two whole sets. A pair at 0.8 shares no key with a chance of one in 5,000, fewer above it.
+The links of the texts' SimHash fingerprints (simhash.links: deletion variants of the bits) come first, each verified on the
+two whole sets; what they connect isn't compared again. At a resemblance of 0.8 the 64 bits differ in about ten places, more
+than any cut into segments that are still selective can bridge (the README has figures). So a second signature of SLOTS
+MinHash values, of which two texts share each with a chance of their resemblance, is indexed in the same way: it is cut into
+few segments, so that one of them differs in at most one slot; each segment's variants, one slot left out, are index keys;
+equal keys give candidates, and every link is verified. A pair at 0.8 shares no key with a chance of one in 5,000, fewer above it.
 
 Texts with equal sets are one node. A key's nodes are compared with its least node first; those that this links are one component. Then only nodes of different
 components are compared: a key's nodes outside its largest component are dealt out in blocks, and all its nodes pass by each
@@ -14,7 +15,7 @@ block, and a group of near copies, which its least node links, isn't compared wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,24 +119,25 @@ def _signed(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 42)).view(np.int64)) if len(found) else 0
 
 
-def nodes(docs: DataFrame, width: int, text_hash: Column) -> DataFrame:
-    """(s, least, size, keys) of the distinct sets s: least is (none, doc_id, h) of the least row that has it, h its text's hash."""
+def nodes(docs: DataFrame, width: int, text_hash: Column, fingerprint: Callable[[str | None, int], int]) -> DataFrame:
+    """(s, least, size, fp, keys) of the distinct sets s: least is (none, doc_id, h) of the least row that has it, h its text's hash, fp its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, sizes, made = [], [], []
+            sets, sizes, fps, made = [], [], [], []
             for text in b.column(2).to_pylist():
                 found = shingles(text, width)
                 sets.append(_signed(found))
                 sizes.append(len(found))
+                fps.append(fingerprint(text, width))
                 made.append(keys(found))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "h", "s", "size", "keys"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "h", "s", "size", "fp", "keys"])
 
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_hash.alias("h"), F.col("text").cast("string"))
-    rows = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, s bigint, size int, keys array<bigint>")
-    made = rows.groupBy("s").agg(F.min(F.struct(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h").alias("least"), "size", "keys")).alias("x"))
-    return made.select("s", "x.least", "x.size", "x.keys")
+    rows = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, s bigint, size int, fp bigint, keys array<bigint>")
+    made = rows.groupBy("s").agg(F.min(F.struct(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h").alias("least"), "size", "fp", "keys")).alias("x"))
+    return made.select("s", "x.least", "x.size", "x.fp", "x.keys")
 
 
 def sets(wanted: DataFrame, docs: DataFrame, width: int, text_hash: Column) -> DataFrame:
@@ -210,8 +212,8 @@ def across(live: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
-def roots(made: DataFrame, docs: DataFrame, width: int, text_hash: Column, scratch: Scratch) -> DataFrame:
-    """(s, root) of the nodes that are linked to another one."""
+def roots(made: DataFrame, found: DataFrame, docs: DataFrame, width: int, text_hash: Column, scratch: Scratch) -> DataFrame:
+    """(s, root) of the nodes that are linked to another one; found are the pairs (u, v) of nodes that their fingerprints link."""
     part, whole = LEAST
     index = made.select("s", "size", F.explode("keys").alias("key"))
     met = scratch.save(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "met")
@@ -220,14 +222,18 @@ def roots(made: DataFrame, docs: DataFrame, width: int, text_hash: Column, scrat
     near = F.least("size", "head.size") * whole >= F.greatest("size", "head.size") * part
     pairs = live.join(heads, "key").filter((F.col("s") != F.col("head.s")) & near).select(F.col("head.s").alias("u"), F.col("s").alias("v"))
     pairs = scratch.save(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("s")).union(live.filter("more").select("s")).distinct()
+    wanted = pairs.unionByName(found).select(F.explode(F.array("u", "v")).alias("s")).union(live.filter("more").select("s")).distinct()
     wanted = scratch.save(made.join(wanted, "s").select("s", F.col("least.doc_id").alias("id"), F.col("least.h").alias("own")), "wanted")
     known = scratch.save(sets(wanted, docs, width, text_hash), "sets")
-    links = scratch.save(verified(pairs, known), "links")
+    first = scratch.save(verified(found, known), "first")
+    before = scratch.save(components(first, scratch), "before")
+    root = lambda name: before.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    apart = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left").filter("root_u IS NULL OR root_v IS NULL OR root_u <> root_v").select("u", "v")
+    links = scratch.save(first.unionByName(verified(scratch.save(apart, "apart"), known)), "links")
     placed = scratch.save(components(links, scratch), "placed")
     rest = live.filter("more").select("key", "s").join(placed.withColumnRenamed("node", "s"), "s", "left").select("key", "s", F.coalesce("root", "s").alias("root"))
     more = scratch.save(across(scratch.save(rest, "rest"), known, scratch), "across")
     if not more.isEmpty():
         placed = scratch.save(components(links.unionByName(more), scratch), "roots")
-    scratch.drop("met", "live", "pairs", "wanted", "sets", "rest", "keys")
+    scratch.drop("met", "live", "pairs", "apart", "wanted", "sets", "rest", "keys")
     return placed.select(F.col("node").alias("s"), "root")

@@ -100,17 +100,36 @@ def _placed(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     return fps, nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
+def linked(made: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of the nodes made (s, fp, ...) that are linked by their fingerprints: each with its fingerprint's least node, and those of linked fingerprints."""
+    least = scratch.save(made.groupBy("fp").agg(F.min("s").alias("u")), "least")
+    same = made.select(F.col("s").alias("v"), "fp").join(least, "fp").filter("u <> v").select("u", "v")
+    edges = scratch.save(links(least.select("fp"), scratch), "edges")
+    side = lambda name: least.select(F.col("fp").alias(f"fp_{name}"), F.col("u").alias(name))
+    near = edges.select(F.col("u").alias("fp_u"), F.col("v").alias("fp_v")).join(side("u"), "fp_u").join(side("v"), "fp_v").select("u", "v")
+    pairs = scratch.save(same.unionByName(near), "linked")
+    scratch.drop("met", "edges", "least")
+    return pairs
+
+
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs without all but one document of each group of near copies: the one with the smallest doc_id, of its texts the one
     with the least hash, and of its repeated rows one. Texts are linked at a resemblance of their sets of shingles of 0.8,
-    verified on the sets (fingerprints at so few bits only find texts that are all but equal). Documents without doc_id come
-    last. Names of columns that begin with __tess are the operator's own.
+    verified on the sets: those at two or fewer differing bits by their fingerprints, the others, as bits find only texts that
+    are all but equal, by a wider signature. Documents without doc_id come last. Names of columns that begin with __tess are the operator's own.
     """
     scratch = Scratch(docs.sparkSession, "resemblance")
-    made = scratch.save(resemblance.nodes(docs, width, text_hash(F.col("text"))), "nodes")
-    roots = resemblance.roots(made, docs, width, text_hash(F.col("text")), scratch)
+    made = scratch.save(resemblance.nodes(docs, width, text_hash(F.col("text")), fingerprint), "nodes")
+    found = linked(made, Scratch(docs.sparkSession, "simhash"))
+    roots = resemblance.roots(made, found, docs, width, text_hash(F.col("text")), scratch)
     heads = made.join(roots, "s", "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("least").alias("head"))
     heads = heads.select(F.col("head.doc_id").alias("__tess_doc"), F.col("head.h").alias("__tess_head"))
     rows = docs.withColumn("__tess_h", text_hash(F.col("text")))
     hit = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__tess_doc")) & (F.col("__tess_h") == F.col("__tess_head")), "left_semi")
-    return hit.dropDuplicates(["doc_id", "__tess_h"]).drop("__tess_h")
+    # only rows that are there more than once need to meet: the others' texts don't move
+    twice = scratch.save(hit.groupBy(F.col("doc_id").alias("__tess_doc"), F.col("__tess_h").alias("__tess_head")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "twice")
+    if twice.isEmpty():
+        return hit.drop("__tess_h")
+    again = F.col("doc_id").eqNullSafe(F.col("__tess_doc")) & (F.col("__tess_h") == F.col("__tess_head"))
+    once = hit.join(twice, again, "left_anti")
+    return once.unionByName(hit.join(twice, again, "left_semi").dropDuplicates(["doc_id", "__tess_h"])).drop("__tess_h")

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tesserae.llm import resemblance, simhash, sketch, suffix
 from tesserae.llm.common import Scratch, components
@@ -96,6 +97,20 @@ def test_keep_one_by_resemblance(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(plain_components(ids, near).values()))
 
 
+def test_keep_one_links_by_fingerprints(spark, monkeypatch):
+    """Without the wider signature texts at two or fewer differing bits are linked, by way of others too, unless their sets differ."""
+    nodes = resemblance.nodes
+    monkeypatch.setattr(resemblance, "nodes", lambda *given: nodes(*given).withColumn("keys", F.expr("cast(array() as array<bigint>)")))
+    base = [f"w{i}" for i in range(3000)]
+    rows = [(k, " ".join(base[:-k] + [f"x{k}_{i}" for i in range(k)] if k else base)) for k in range(4)]
+    rows += [(8, "p q r s t " * 400 + " ".join(f"y{i}" for i in range(10))), (9, "p q r s t " * 400 + " ".join(f"z{i}" for i in range(10)))]
+    rows += [(10, " ".join(base[:1500])), (10, " ".join(base[:1500]))]
+    fps = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert set(plain_components(range(4), [(a, b) for a, b in near if b < 4]).values()) == {0} and (8, 9) in near
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == [0, 8, 9, 10]
+
+
 def test_keep_one_of_a_large_group(spark, monkeypatch):
     """Many copies of one text that share keys are linked by way of few, and a text below the bound stays."""
     monkeypatch.setattr(resemblance, "IN_BLOCK", 4)
